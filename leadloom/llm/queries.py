@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.llm import formatting, packing, tokens
+from leadloom.llm import formatting, mapping, names, packing, tokens
+from leadloom.llm.common import encode_join
 from leadloom.llm.survivors import Field, survivors
 from leadloom.operators.moments import normalise_moments, utc_text
 from leadloom.operators.quantities import stated_pay
-from leadloom.runtime import bounded_rows, table
+from leadloom.runtime import bounded_rows, broadcast_if_small, durable, table
 
 #: Statuses of a job, best first.
 STATUS_ORDER = ("offer", "rejected", "interview", "assessment", "recruiter_screen", "applied", "skipped", "opened", "new", "invalid_location", "superseded")
@@ -54,6 +55,58 @@ def p1_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivors(rows, "canonical_apply_url", "id", fields, F.coalesce(trust, F.lit(0.3)), age)
 
 
+def _organisations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Spellings of jobs (id, name, tenant), of the registry (the same), and their attribution."""
+    jobs = table(spark, sf_dir, "jobs").select("id", "company", "source_job_id", "apply_url")
+    typed = durable(names.with_tenants(jobs, "company", "source_job_id", "apply_url"))
+    registry = table(spark, sf_dir, "source_registry").select("id", F.coalesce("company", "label").alias("name"), names.tenant(F.col("normalized_url")).alias("tenant"))
+    seen = typed.select("name", "tenant").unionByName(registry.select("name", "tenant")).groupBy("name", "tenant").agg(F.count("*").alias("n"))
+    return typed, registry, names.attribute(seen)
+
+
+def _with_org(rows: DataFrame, attributed: DataFrame) -> DataFrame:
+    """Rows (id, name, tenant) with org and posterior; joined on one key that is never null, so that no hot null is shuffled."""
+    key = F.concat_ws("\u0001", F.coalesce("name", F.lit("\u0000")), F.coalesce("tenant", F.lit("\u0000"))).alias("pair")
+    keyed = rows.select("*", key)
+    counts = keyed.groupBy("pair").agg(F.count("*").alias("n"))
+    dictionary = durable(attributed.select(key, "org", "posterior").join(counts, "pair"))
+    return encode_join(keyed, "pair", dictionary, "n", rows.count()).drop("pair")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    typed, registry, attributed = _organisations(spark, sf_dir)
+    by_hand = table(spark, sf_dir, "jobs").filter("source_registry_id is null").select("id")
+    jobs = _with_org(typed.join(by_hand, "id", "left_semi"), attributed).filter(F.col("posterior") >= names.MIN_POSTERIOR)
+    listed = table(spark, sf_dir, "source_registry").filter("company is not null").select("id", "company")
+    owners = _with_org(registry, attributed).select("id", "org").join(listed, "id").select(F.col("id").alias("registry_id"), "company", "org")
+    owners = broadcast_if_small(owners, 100_000)
+    return jobs.join(owners, "org").filter(F.col("name") != F.col("company")).select(F.col("id").alias("job_id"), "registry_id")
+
+
+def _field_values(rows: DataFrame, field: str, ref: DataFrame, name: str) -> DataFrame:
+    """value, n: distinct values of a field to map: not null, not blank, no entry's exact name."""
+    usable = rows.filter(F.col(field).isNotNull() & F.col(field).rlike(r"[^\s\u00a0\u2000-\u200b\u202f\u3000]"))
+    values = usable.groupBy(F.col(field).alias("value")).agg(F.count("*").alias("n"))
+    return values.join(ref.select(F.col(name).alias("value")).distinct(), "value", "left_anti")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    jobs = table(spark, sf_dir, "jobs").select("id", "location", "title")
+    places, titles = table(spark, sf_dir, "ref_locations"), table(spark, sf_dir, "ref_titles")
+    total = jobs.count()
+    out = []
+    for field, ref, name in (("location", places, "location_name"), ("title", titles, "title_name")):
+        values = _field_values(jobs, field, ref, name)
+        if field == "location":
+            mapped = mapping.map_locations(spark, values.select("value"), places).select("value", "ref_ids")
+        else:
+            mapped = mapping.map_titles(spark, values.select("value"), titles).select("value", F.array("ref_id").alias("ref_ids"))
+        mapped = durable(mapped.join(values, "value").withColumn("ref_ids", F.when(F.size("ref_ids") > 0, F.col("ref_ids")).otherwise(F.array(F.lit(0)))))
+        rows = encode_join(jobs.select("id", F.col(field).alias("value")).filter("value is not null"), "value", mapped, "n", total)
+        out.append(rows.select(F.col("id").alias("job_id"), F.lit(field).alias("field_name"), F.explode("ref_ids").alias("ref_id")))
+    return out[0].unionByName(out[1])
+
+
 def _collapsed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return formatting.collapse(table(spark, sf_dir, "jobs"), "id", ["company", "title", "location"], "apply_url")
 
@@ -91,7 +144,7 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_survivors": p1_survivors, "p7_found": p7_found, "p7_records": p7_records,
+    "p1_found": p1_found, "p1_survivors": p1_survivors, "p4_found": p4_found, "p5_found": p5_found, "p7_found": p7_found, "p7_records": p7_records,
     "p8_ids": p8_ids, "p8_roundtrip": p8_roundtrip, "p9_containers": p9_containers,
 }
 SQL: dict[str, str] = {}
