@@ -112,6 +112,20 @@ def replace_phrases(words: list[str], table: dict[tuple[str, ...], list[str]], l
     return out
 
 
+def settle_spellings(words: DataFrame, ratio: int = 8) -> DataFrame:
+    """word, settled: rare words that are close spellings of a word at least ``ratio`` times as frequent, and that word.
+
+    ``words``: word, n. For words no list has, such as names of teams.
+    """
+    counts = durable(words.groupBy("word").agg(F.sum("n").alias("n")).filter(F.length("word") >= 4))
+    if counts.limit(1).count() == 0:
+        return counts.select("word", F.col("word").alias("settled"))
+    pairs = similar_words(counts.select("word"), counts.select(F.col("word").alias("lexeme")), 0.4).filter(F.col("word") != F.col("lexeme"))
+    pairs = pairs.filter(close_spelling(F.col("word"), F.col("lexeme")))
+    pairs = pairs.join(counts, "word").join(counts.select(F.col("word").alias("lexeme"), F.col("n").alias("m")), "lexeme").filter(F.col("m") >= F.col("n") * ratio)
+    return pairs.groupBy("word").agg(F.max_by("lexeme", F.struct("m", "jaccard", "lexeme")).alias("settled"))
+
+
 def phrase_table(aliases: dict[str, str]) -> tuple[dict[tuple[str, ...], list[str]], int]:
     table = {tuple(k.split()): v.split() for k, v in aliases.items()}
     return table, max(map(len, table))

@@ -46,6 +46,8 @@ SHORT = {
 }
 TENANT_WEIGHT = 10
 MIN_POSTERIOR = 0.5
+#: Cost of taking a typed spelling that no tenant confirms for a form of its own.
+NOVEL_COST = 3.0
 
 _WORDS = T.StructType([T.StructField("words", T.ArrayType(T.StringType())), T.StructField("squash", T.StringType())])
 
@@ -97,7 +99,7 @@ def requisition(job_id: Column, url: Column) -> Column:
     """Key of a requisition in a source id or else a URL, however written: a UUID, or a number without leading zeros."""
 
     def uuid(c: Column) -> Column:
-        return F.nullif(F.regexp_replace(F.regexp_extract(c, r"([0-9a-f]{8}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{12})", 1), "-", ""), F.lit(""))
+        return F.nullif(F.regexp_replace(F.regexp_extract(c, r"([0-9a-f]{8}(?:[-_ ]?[0-9a-f]{4}){3}[-_ ]?[0-9a-f]{12})", 1), "[-_ ]", ""), F.lit(""))
 
     def number(c: Column, pattern: str) -> Column:
         return F.nullif(F.regexp_replace(F.regexp_extract(c, pattern, 1), "^0+", ""), F.lit(""))
@@ -186,7 +188,7 @@ def _attach(words: list[str], tenant_key: str | None, votes: dict[str, float], c
         if tenant_key is not None:
             loglike += 0.0 if tenant_key == key else -14.0
         loglike += math.log1p(20.0 * votes.get(key, 0.0))
-        scored[key] = max(scored.get(key, -math.inf), math.log(c["freq"] + 0.5) + loglike)
+        scored[key] = max(scored.get(key, -math.inf), math.log(c["freq"] + 0.5) + loglike - (0.0 if c["known"] else NOVEL_COST))
     top = max(scored.values())
     total = sum(math.exp(v - top) for v in scored.values())
     key = min((k for k, v in scored.items() if v >= top - 1e-9))
@@ -257,10 +259,10 @@ def attribute(spellings: DataFrame) -> DataFrame:
     by_initials = loose.filter(F.length("squash").between(2, 6)).select("squash").distinct().join(first, "squash").select("squash", "key", zero)
 
     found = same.unionByName(voted.select("squash", "key", "vote")).unionByName(by_word).unionByName(by_letters).unionByName(by_cut).unionByName(by_initials)
-    found = found.groupBy("squash", "key").agg(F.max("vote").alias("vote")).join(forms.select("key", F.col("words").alias("true"), "freq"), "key")
-    per_loose = found.groupBy("squash").agg(F.collect_list(F.struct("key", F.col("true").alias("words"), "freq", "vote")).alias("candidates"))
+    found = found.groupBy("squash", "key").agg(F.max("vote").alias("vote")).join(forms.select("key", F.col("words").alias("true"), "freq", "known"), "key")
+    per_loose = found.groupBy("squash").agg(F.collect_list(F.struct("key", F.col("true").alias("words"), "freq", "vote", "known")).alias("candidates"))
     without = pairs.filter("tenant is null").select("name", "tenant", "words", "squash").join(per_loose, "squash", "left").drop("squash")
-    per_tenant = by_tenant.join(forms.select("key", F.col("words").alias("true"), "freq"), "key").groupBy("name", "tenant").agg(F.collect_list(F.struct("key", F.col("true").alias("words"), "freq", "vote")).alias("candidates"))
+    per_tenant = by_tenant.join(forms.select("key", F.col("words").alias("true"), "freq", "known"), "key").groupBy("name", "tenant").agg(F.collect_list(F.struct("key", F.col("true").alias("words"), "freq", "vote", "known")).alias("candidates"))
     with_tenant = pairs.filter("tenant is not null").select(F.coalesce("name", F.lit("\u0000")).alias("name"), "tenant", "words")
     with_tenant = with_tenant.join(per_tenant.withColumn("name", F.coalesce("name", F.lit("\u0000"))), ["name", "tenant"]).withColumn("name", F.nullif("name", F.lit("\u0000")))
     every = with_tenant.select("name", "tenant", "words", "candidates").unionByName(without.select("name", "tenant", "words", "candidates"))
