@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.llm import formatting, history, mapping, names, packing, tokens
+from leadloom.llm import formatting, history, language, mapping, names, packing, tokens
 from leadloom.llm.common import encode_join
 from leadloom.llm.survivors import Field, survivors
 from leadloom.operators.moments import normalise_moments, utc_text
@@ -177,8 +177,26 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("container_id", F.col("capacity").alias("capacity_tokens"), F.col("bin").alias("container"), F.col("id").alias("doc_id"), F.col("piece").alias("piece_no"), F.col("size").alias("n_tokens"))
 
 
+def _languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("label"))
+    return language.label_documents(docs)
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose label names no language or another one, and every block of mixed ones."""
+    found = _languages(spark, sf_dir)
+    wrong = ~F.col("mixed") & (F.col("block_no") == 0) & ~F.col("code").eqNullSafe(F.col("lang"))
+    block = F.col("mixed") & (F.col("block_no") > 0)
+    return found.filter(wrong | block).select(F.col("id").alias("doc_id"), F.col("block_no").cast("int").alias("block_no"), "lang")
+
+
+def p10_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with sentences, and every block of a mixed one, with its language and confidence."""
+    return _languages(spark, sf_dir).select(F.col("id").alias("doc_id"), "block_no", "lang", F.round("confidence", 4).alias("confidence"), "mixed")
+
+
 QUERIES = {
     "p1_found": p1_found, "p1_survivors": p1_survivors, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p7_records": p7_records,
-    "p8_ids": p8_ids, "p8_roundtrip": p8_roundtrip, "p9_containers": p9_containers,
+    "p8_ids": p8_ids, "p8_roundtrip": p8_roundtrip, "p9_containers": p9_containers, "p10_found": p10_found, "p10_languages": p10_languages,
 }
 SQL: dict[str, str] = {}
