@@ -183,8 +183,8 @@ def source_orders(readings: DataFrame, feeds: DataFrame, iterations: int = 20) -
     single = F.col("cm").isNull() | F.col("cd").isNull() | (F.col("cm") == F.col("cd"))
     hist = cells.groupBy(F.coalesce("cm", "cd").alias("c")).agg(F.coalesce(F.sum(F.when(single, F.col("n"))), F.lit(0)).alias("n"))
     like = hist.agg(F.map_from_entries(F.collect_list(F.when(F.col("c").isNotNull(), F.struct("c", F.col("n").cast("double").alias("n"))))).alias("counts"))
-    like = like.select(F.lit(1).alias("one"), "counts", F.expr("aggregate(map_values(counts), 0D, (a, x) -> a + x)").alias("total"))
-    per = cells.groupBy("source").agg(F.collect_list(F.struct("cm", "cd", "n")).alias("cells")).withColumn("one", F.lit(1))
+    like = like.select((F.size("counts") >= 0).alias("one"), "counts", F.expr("aggregate(map_values(counts), 0D, (a, x) -> a + x)").alias("total"))
+    per = cells.groupBy("source").agg(F.collect_list(F.struct("cm", "cd", "n")).alias("cells")).withColumn("one", F.size("cells") >= 0)
     per = per.join(like, "one", "left").drop("one")
     per = per.join(feeds.select("source", "date_order"), "source", "left")
 
