@@ -19,6 +19,7 @@ empty result.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -84,16 +85,26 @@ def best_two_fit(counts: dict[int, int], capacity: int) -> list[list[int]]:
 
 def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
     capacity, container, group = int(pdf["capacity"].iloc[0]), int(pdf["container_id"].iloc[0]), int(pdf["g"].iloc[0])
-    pdf = pdf.sort_values(["size", "id", "piece"], kind="stable")
-    by_size = {int(s): list(rows) for s, rows in pdf.groupby("size").indices.items()}
-    order: list[int] = []
-    names: list[str] = []
+    ids, sizes = pdf["id"].to_numpy(), pdf["size"].to_numpy()
+    full = np.where(sizes > capacity, sizes // capacity, 0)
+    rest = sizes - full * capacity
+    order = np.lexsort((ids, rest))
+    edges = np.flatnonzero(np.diff(rest[order], prepend=-1))
+    by_size = {int(rest[order[i]]): list(order[i:j]) for i, j in zip(edges, [*edges[1:], len(order)], strict=True)}
+    by_size.pop(0, None)
+    picked: list[int] = []
+    bins: list[int] = []
     for k, content in enumerate(best_two_fit({s: len(r) for s, r in by_size.items()}, capacity)):
         for s in content:
-            order.append(by_size[s].pop())
-            names.append(f"{group}-{k}")
-    out = pdf.iloc[order]
-    return pd.DataFrame({"container_id": container, "capacity": capacity, "bin": names, "id": out["id"].to_numpy(), "piece": out["piece"].to_numpy(), "size": out["size"].to_numpy()})
+            picked.append(by_size[s].pop())
+            bins.append(k)
+    at = np.array(picked, dtype=np.int64)
+    packed = pd.DataFrame({"bin": pd.Series(bins, dtype="int64").map(lambda k: f"{group}-{k}"), "id": ids[at], "piece": full[at], "size": rest[at]})
+    owner = np.repeat(np.arange(len(ids)), full)
+    piece = np.arange(len(owner)) - np.repeat(np.cumsum(full) - full, full)
+    whole = pd.DataFrame({"bin": [f"whole-{i}-{p}" for i, p in zip(ids[owner], piece, strict=True)], "id": ids[owner], "piece": piece, "size": capacity})
+    out = pd.concat([packed, whole], ignore_index=True) if len(whole) else packed
+    return out.assign(container_id=container, capacity=capacity)[["container_id", "capacity", "bin", "id", "piece", "size"]]
 
 
 def pack(items: DataFrame, capacities: dict[int, int], n_items: int, group_rows: int = 20000) -> DataFrame:
@@ -102,18 +113,10 @@ def pack(items: DataFrame, capacities: dict[int, int], n_items: int, group_rows:
     ``n_items`` (a count, or a bound on it) sets the number of groups.
     """
     usable = {k: c for k, c in capacities.items() if c is not None and c >= 1}
-    spark = items.sparkSession
     if not usable:
-        return spark.createDataFrame([], SCHEMA)
+        return items.sparkSession.createDataFrame([], SCHEMA)
     groups = max(1, -(-n_items // group_rows))
     sizes = F.array(*[F.struct(F.lit(k).cast("int").alias("container_id"), F.lit(c).cast("int").alias("capacity")) for k, c in sorted(usable.items())])
-    each = items.filter("size > 0").select(F.col("id").cast("long").alias("id"), F.col("size").cast("int").alias("size"), F.explode(sizes).alias("c"))
-    each = each.select("id", "size", "c.container_id", "c.capacity", F.floor(F.col("size") / F.col("c.capacity")).cast("int").alias("full"))
-    whole = each.filter("full > 0 and size > capacity").select("container_id", "capacity", "id", F.explode(F.sequence(F.lit(0), F.col("full") - 1)).alias("piece"))
-    whole = whole.select("container_id", "capacity", F.concat(F.lit("whole-"), "id", F.lit("-"), "piece").alias("bin"), "id", F.col("piece").cast("int").alias("piece"), F.col("capacity").alias("size"))
-    rest = F.when(F.col("size") > F.col("capacity"), F.col("size") % F.col("capacity")).otherwise(F.col("size"))
-    parts = each.select(
-        "container_id", "capacity", "id", F.when(F.col("size") > F.col("capacity"), F.col("full")).otherwise(0).cast("int").alias("piece"), rest.alias("size"),
-        F.pmod(F.xxhash64("id"), F.lit(groups)).alias("g"),
-    ).filter("size > 0")
-    return parts.groupBy("container_id", "g").applyInPandas(_pack, SCHEMA).unionByName(whole)
+    each = items.select(F.col("id").cast("long").alias("id"), F.col("size").cast("int").alias("size"), F.pmod(F.xxhash64("id"), F.lit(groups)).alias("g"))
+    each = each.withColumn("c", F.explode(F.when(F.col("size") > 0, sizes))).select("id", "size", "g", "c.container_id", "c.capacity")
+    return each.groupBy("container_id", "g").applyInPandas(_pack, SCHEMA)
