@@ -87,23 +87,40 @@ def _repair_run(m: re.Match) -> str:
         return m[0].encode("latin-1").decode("utf-8", "ignore") or m[0]
 
 
+_BULLET = re.compile(r"\s*(?:[-*•–—→✅✔#>]+|\d{1,2}[.)]|\[[^\]]*\])\s*")
+_PART = re.compile(r"(?<=[.!?…;])\s+(?!$)")
+_WORD = re.compile(r"[^\W\d_]+")
+
+
 def sentences(text: str) -> list[str]:
     """Sentences of a repaired text: at least four words, ended by a mark or running on in small letters."""
     out = []
     for line in text.split("\n"):
-        line = re.sub(r"^\s*(?:[-*•–—→✅✔#>]+|\d{1,2}[.)]|\[[^\]]*\])\s*", "", line)
-        for part in re.split(r"(?<=[.!?…;])\s+(?!$)", line):
-            words = re.findall(r"[^\W\d_]+", part)
-            if len(words) < 4:
+        if len(line) < 12:
+            continue
+        m = _BULLET.match(line)
+        for part in _PART.split(line[m.end() :] if m else line):
+            words = _WORD.findall(part)
+            n = len(words)
+            if n < 4:
+                continue
+            ended = part.rstrip()[-1:] in (".", "!", "?", "…", ";")
+            need = 2 if ended else -(-n // 2)
+            if not ended and n < 6:
                 continue
-            ended = part.rstrip().endswith((".", "!", "?", "…", ";"))
-            small = sum(1 for w in words if w[0].islower())
-            if (ended and (small >= 2 or part.isupper())) or (len(words) >= 6 and small * 2 >= len(words)):
+            small = 0
+            for w in words:
+                if w[0].islower():
+                    small += 1
+                    if small >= need:
+                        break
+            if small >= need or (ended and part.isupper()):
                 out.append(part)
     return out
 
 
 def folded_words(text: str) -> list[str]:
+    """Words of a text in letters a to z."""
     if not text.isascii():
         text = unicodedata.normalize("NFKD", unicodedata.normalize("NFKC", text)).replace("ł", "l").replace("Ł", "l").replace("ß", "ss")
         text = "".join(c for c in text if not unicodedata.combining(c))
@@ -129,26 +146,41 @@ class Model:
     bias: np.ndarray
     temperature: float = 1.0
     least: float = 0.5
-    _cache: dict = field(default_factory=dict, repr=False)
-
-    def total(self, text: str) -> tuple[np.ndarray, int]:
-        """Sum of the embeddings of a text's subwords, and their number."""
-        out, n = np.zeros(self.embedding.shape[1]), 0
-        for w in folded_words(text):
-            known = self._cache.get(w)
-            if known is None:
-                ids = list(subwords(w, len(self.embedding)))
-                if len(self._cache) > 200000:
-                    self._cache.clear()
-                known = self._cache[w] = (self.embedding[ids].sum(axis=0), len(ids))
-            out += known[0]
-            n += known[1]
-        return out, n
-
-    def probabilities(self, total: np.ndarray, n: int) -> np.ndarray:
-        z = (total / max(n, 1) @ self.weights + self.bias) / self.temperature
-        e = np.exp(z - z.max())
-        return e / e.sum()
+    #: Rows of ``_sums`` and ``_sizes`` by written word: what a word adds, computed once.
+    _rows: dict = field(default_factory=dict, repr=False)
+    _sums: np.ndarray | None = field(default=None, repr=False)
+    _sizes: np.ndarray | None = field(default=None, repr=False)
+
+    def _row(self, word: str) -> int:
+        ids = [i for w in folded_words(word) for i in subwords(w, len(self.embedding))]
+        if self._sums is None:
+            self._sums, self._sizes = np.zeros((1024, self.embedding.shape[1] + 1)), np.zeros(1024)
+        row = len(self._rows)
+        if row == len(self._sums):
+            self._sums = np.concatenate([self._sums, np.zeros_like(self._sums)])
+        self._sums[row, :-1] = self.embedding[ids].sum(axis=0) if ids else 0.0
+        self._sums[row, -1] = len(ids)
+        self._rows[word] = row
+        return row
+
+    def totals(self, parts: list[list[str]]) -> np.ndarray:
+        """A row per part (a list of words): the sum of its subwords' embeddings, and their number."""
+        known = self._rows
+        if len(known) > 400000:
+            known.clear()
+        rows = [[known[w] if w in known else self._row(w) for w in p] for p in parts]
+        out = np.zeros((len(parts), self.embedding.shape[1] + 1))
+        full = [i for i, r in enumerate(rows) if r]
+        if full:
+            flat = np.array([x for i in full for x in rows[i]])
+            starts = np.cumsum([0] + [len(rows[i]) for i in full[:-1]])
+            out[full] = np.add.reduceat(self._sums[flat], starts, axis=0)
+        return out
+
+    def probabilities(self, totals: np.ndarray) -> np.ndarray:
+        z = (totals[:, :-1] / np.maximum(totals[:, -1:], 1) @ self.weights + self.bias) / self.temperature
+        e = np.exp(z - z.max(axis=1, keepdims=True))
+        return e / e.sum(axis=1, keepdims=True)
 
 
 def _fit(samples: list[np.ndarray], labels: np.ndarray, p: Training) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -232,25 +264,21 @@ def training_sentences(docs: DataFrame, p: Training) -> DataFrame:
 
 def _read(text: str, model: Model) -> list[tuple[int, str, float, bool]]:
     """(block, language, confidence, mixed): block 0 for the whole text, then the blocks of a mixed one."""
-    blocks = [sentences(repair(b)) for b in text.split("\n\n")]
+    blocks = [_WORD.findall(" ".join(sentences(repair(b)))) for b in text.split("\n\n")]
     if not any(blocks):
         return []
-    totals = []
-    for b in blocks:
-        parts = [model.total(s) for s in b]
-        totals.append((sum((t for t, _ in parts), np.zeros(model.embedding.shape[1])), sum(n for _, n in parts)))
-    whole = model.probabilities(sum(t for t, _ in totals), sum(n for _, n in totals))
-    found = [(None, 0.0) if not n else (int((p := model.probabilities(t, n)).argmax()), float(p.max())) for t, n in totals]
-    sure = {k for k, c in found if k is not None and c >= max(model.least, 0.8)}
+    totals = model.totals(blocks)
+    p = model.probabilities(np.concatenate([totals.sum(axis=0, keepdims=True), totals]))
+    best, sureness = p.argmax(axis=1), p.max(axis=1)
+    spoken = totals[:, -1] > 0
+    sure = set(best[1:][spoken & (sureness[1:] >= max(model.least, 0.8))].tolist())
     mixed = len(sure) > 1
-    out = [(0, LANGUAGES[int(whole.argmax())], float(whole.max()), mixed)]
+    out = [(0, LANGUAGES[best[0]], float(sureness[0]), mixed)]
     if mixed:
-        codes = [k for k, _ in found]
-        first = next(k for k in codes if k is not None)
-        before = first
-        for i, (k, c) in enumerate(found, 1):
-            before = before if k is None else k
-            out.append((i, LANGUAGES[before], c, True))
+        before = int(best[1:][spoken][0])
+        for i, said in enumerate(spoken.tolist(), 1):
+            before = int(best[i]) if said else before
+            out.append((i, LANGUAGES[before], float(sureness[i]) if said else 0.0, True))
     return out
 
 
