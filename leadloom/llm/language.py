@@ -77,7 +77,7 @@ def repair(text: str) -> str:
     text = re.sub(r"(?i)</?(?:p|li|ul|ol|br|div|h\d|tr|td)\b[^>]*>", "\n", text) if "<" in text else text
     text = re.sub(r"<[^<>]{1,200}>", " ", text) if "<" in text else text
     text = html.unescape(text) if "&" in text else text
-    return re.sub(r"https?://\S+|\S+@\S+\.\S+", " ", text)
+    return re.sub(r"https?://\S+|\S+@\S+\.\S+", " ", text) if "://" in text or "@" in text else text
 
 
 def _repair_run(m: re.Match) -> str:
@@ -89,11 +89,12 @@ def _repair_run(m: re.Match) -> str:
 
 _BULLET = re.compile(r"\s*(?:[-*•–—→✅✔#>]+|\d{1,2}[.)]|\[[^\]]*\])\s*")
 _PART = re.compile(r"(?<=[.!?…;])\s+(?!$)")
-_WORD = re.compile(r"[^\W\d_]+")
+#: Letters of the Latin blocks, which all known languages use.
+_WORD = re.compile(r"[A-Za-z\u00aa\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u1e00-\u1eff]+")
 
 
-def sentences(text: str) -> list[str]:
-    """Sentences of a repaired text: at least four words, ended by a mark or running on in small letters."""
+def sentences(text: str) -> list[tuple[str, list[str]]]:
+    """Sentences of a repaired text and their words: at least four words, ended by a mark or running on in small letters."""
     out = []
     for line in text.split("\n"):
         if len(line) < 12:
@@ -115,7 +116,7 @@ def sentences(text: str) -> list[str]:
                     if small >= need:
                         break
             if small >= need or (ended and part.isupper()):
-                out.append(part)
+                out.append((part, words))
     return out
 
 
@@ -254,7 +255,7 @@ def training_sentences(docs: DataFrame, p: Training) -> DataFrame:
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def some(texts: pd.Series) -> pd.Series:
         def pick(t: str) -> list[str]:
-            return sorted(sentences(repair(t)), key=lambda s: zlib.crc32(s.encode()))[:per]
+            return sorted((s for s, _ in sentences(repair(t))), key=lambda s: zlib.crc32(s.encode()))[:per]
 
         return pd.Series([pick(t) for t in texts], dtype=object)
 
@@ -264,7 +265,7 @@ def training_sentences(docs: DataFrame, p: Training) -> DataFrame:
 
 def _read(text: str, model: Model) -> list[tuple[int, str, float, bool]]:
     """(block, language, confidence, mixed): block 0 for the whole text, then the blocks of a mixed one."""
-    blocks = [_WORD.findall(" ".join(sentences(repair(b)))) for b in text.split("\n\n")]
+    blocks = [[w for _, words in sentences(repair(b)) for w in words] for b in text.split("\n\n")]
     if not any(blocks):
         return []
     totals = model.totals(blocks)
