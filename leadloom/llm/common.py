@@ -92,3 +92,21 @@ def encode_join(rows: DataFrame, key: str, dictionary: DataFrame, n_col: str, to
     hit = marked.filter(F.col("_hot")).drop("_hot")
     rest = marked.filter(F.col("_hot").isNull()).drop("_hot", *values)
     return hit.unionByName(rest.join(cold, key, "left").select(hit.columns))
+
+
+def encode_fields(rows: DataFrame, fields: dict[str, str], dictionary: DataFrame, total: int) -> DataFrame:
+    """id and one integer code per field, null where the dictionary has none.
+
+    ``fields``: name of the code to the column with the value. ``dictionary``: entry
+    (made by :func:`field_entry`), n, code. The fields are stacked, so each value is
+    shuffled once and by itself, and only ids and codes are shuffled back.
+    """
+    pairs = F.array(*[F.when(F.col(c).isNotNull(), F.struct(F.lit(i).alias("f"), field_entry(i, F.col(c)).alias("entry"))) for i, c in enumerate(fields.values())])
+    long = rows.select("id", F.explode(F.array_compact(pairs)).alias("x")).select("id", "x.f", "x.entry")
+    coded = encode_join(long, "entry", dictionary, "n", total * len(fields)).select("id", "f", "code")
+    return coded.groupBy("id").agg(*[F.max(F.when(F.col("f") == i, F.col("code"))).alias(name) for i, name in enumerate(fields)])
+
+
+def field_entry(field: int, value: Column) -> Column:
+    """Key of a value in the dictionary of all fields."""
+    return F.concat(F.lit(f"{field}:"), value)

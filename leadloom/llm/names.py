@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leadloom.llm.common import close_spelling, fold, similar_words, words_of
+from leadloom.operators.moments import let
 from leadloom.runtime import durable
 
 #: Legal forms at the end of a name, folded and without dots.
@@ -88,27 +89,35 @@ def _core(names: pd.Series) -> pd.DataFrame:
 
 def tenant(url: Column) -> Column:
     """The organisation's part of a board URL: the tenant of the host, else the first path segment; null if there is none."""
-    u = F.lower(F.regexp_replace(url, r"[\s ​]+", ""))
-    host = F.regexp_extract(u, r"^https?:/+(?:www\.)?([^/:?#]+)", 1)
-    path = F.regexp_extract(u, r"^https?:/+[^/?#]+/+([^/?#]*)", 1)
-    own = F.coalesce(F.nullif(F.regexp_extract(host, r"^([^.]+)\.wd\d+\.", 1), F.lit("")), F.nullif(F.regexp_extract(host, r"^careers\.([^.]+)\.", 1), F.lit("")))
-    return F.nullif(F.regexp_replace(F.regexp_replace(F.coalesce(own, path), r"-\d+$", ""), r"[^\p{L}\p{N}]", ""), F.lit(""))
+    shaped = r"^https?:/+(?:www\.)?(?:([^./?#:]+)\.wd\d+\.[^/?#]*|careers\.([^./?#:]+)\.[^/?#]*|[^/?#]+)(?:/+([^/?#]*))?.*$"
+    u = F.lower(F.regexp_replace(url, r"[\s\u00a0\u200b]+", ""))
+    found = let(u, lambda x: F.when(x.rlike("^https?:/"), F.split(F.regexp_replace(x, shaped, "$1|$2|$3"), r"\|", 3)))
+    first = let(found, lambda x: F.coalesce(F.nullif(F.get(x, F.lit(0)), F.lit("")), F.nullif(F.get(x, F.lit(1)), F.lit("")), F.get(x, F.lit(2))))
+    return F.nullif(F.regexp_replace(F.regexp_replace(first, r"-\d+$", ""), r"[^\p{L}\p{N}]", ""), F.lit(""))
+
+
+_UUID = r"([0-9a-f]{8}(?:[-_ ]?[0-9a-f]{4}){3}[-_ ]?[0-9a-f]{12})"
 
 
 def requisition(job_id: Column, url: Column) -> Column:
     """Key of a requisition in a source id or else a URL, however written: a UUID, or a number without leading zeros."""
 
-    def uuid(c: Column) -> Column:
-        return F.nullif(F.regexp_replace(F.regexp_extract(c, r"([0-9a-f]{8}(?:[-_ ]?[0-9a-f]{4}){3}[-_ ]?[0-9a-f]{12})", 1), "[-_ ]", ""), F.lit(""))
+    def plain(c: Column) -> Column:
+        return F.lower(F.translate(c, "０１２３４５６７８９", "0123456789"))
+
+    def first(c: Column, *patterns: str) -> Column:
+        """First pattern that matches; each is tried only where the ones before it fail."""
+        if not patterns:
+            return F.lit(None).cast("string")
+        rest = first(c, *patterns[1:])
+        return let(F.regexp_extract(c, patterns[0], 1), lambda x: F.when(x != "", x).otherwise(rest))
 
-    def number(c: Column, pattern: str) -> Column:
-        return F.nullif(F.regexp_replace(F.regexp_extract(c, pattern, 1), "^0+", ""), F.lit(""))
+    def settled(c: Column) -> Column:
+        return let(c, lambda x: F.nullif(F.when(F.length(x) >= 32, F.regexp_replace(x, "[-_ ]", "")).otherwise(F.regexp_replace(x, "^0+", "")), F.lit("")))
 
-    j = F.lower(F.translate(job_id, "０１２３４５６７８９", "0123456789"))
-    u = F.lower(F.translate(url, "０１２３４５６７８９", "0123456789"))
-    path = F.regexp_extract(u, r"^([^?#]*)", 1)
-    from_url = F.coalesce(uuid(u), number(u, r"[?&](?:gh_jid|jobid|jid|job_id|job)=(\d{4,})"), number(path, r"(\d{5,})(?!.*\d{5,})"))
-    return F.coalesce(uuid(j), number(j, r"(\d{4,})\D*$"), from_url)
+    from_id = let(plain(job_id), lambda j: settled(first(j, _UUID, r"(\d{4,})\D*$")))
+    from_url = let(plain(url), lambda u: settled(first(u, _UUID, r"[?&](?:gh_jid|jobid|jid|job_id|job)=(\d{4,})", r"^[^?#]*(?<!\d)(\d{5,})")))
+    return let(from_id, lambda x: F.when(x.isNotNull(), x).otherwise(from_url))
 
 
 def _edits(a: str, b: str, most: int) -> int:
@@ -271,7 +280,7 @@ def attribute(spellings: DataFrame) -> DataFrame:
 
 def with_tenants(rows: DataFrame, name: str, job_id: str, url: str) -> DataFrame:
     """id, name, tenant: the tenant of a row's URL, else the one tenant that rows of the same requisition have."""
-    keyed = rows.select("id", F.col(name).alias("name"), tenant(F.col(url)).alias("own"), requisition(F.col(job_id), F.col(url)).alias("req"))
+    keyed = durable(rows.select("id", F.col(name).alias("name"), tenant(F.col(url)).alias("own"), requisition(F.col(job_id), F.col(url)).alias("req")))
     per = keyed.filter("req is not null and own is not null").groupBy("req").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).filter("lo = hi").select("req", F.col("lo").alias("other"))
     lacking = keyed.filter("own is null and req is not null").join(per, "req", "left").select("id", "name", F.col("other").alias("tenant"))
     return keyed.filter("own is not null or req is null").select("id", "name", F.col("own").alias("tenant")).unionByName(lacking)

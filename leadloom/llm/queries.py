@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadloom.llm import formatting, history, language, mapping, names, packing, tokens
-from leadloom.llm.common import encode_join
+from leadloom.llm.common import encode_fields, encode_join, field_entry
 from leadloom.llm.survivors import Field, survivors
 from leadloom.operators.moments import normalise_moments, utc_text
 from leadloom.operators.quantities import stated_pay
@@ -107,37 +107,44 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out[0].unionByName(out[1])
 
 
-def _signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every job: id, batch (empty for null), req, and the tokens of its organisation, title with team, and location."""
-    jobs = table(spark, sf_dir, "jobs").select("id", "title", "location", "source_job_id", "apply_url", F.coalesce("ingest_batch_id", F.lit("")).alias("batch"))
+def _signatures(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Every job (id, batch (empty for null), req, code of its organisation, title with team, and location), and the tokens of each code.
+
+    Codes are the integers of distinct token lists, so rows stay small: only the codes
+    meet the rows, the tokens meet the distinct combinations later.
+    """
+    jobs = table(spark, sf_dir, "jobs").select("id", "title", "location", "company", "source_job_id", "apply_url", F.coalesce("ingest_batch_id", F.lit("")).alias("batch"))
     total = jobs.count()
     typed, _, attributed = _organisations(spark, sf_dir)
-    orgs = _with_org(typed, attributed).select("id", F.coalesce("org", F.lit("")).alias("org"))
+    pair = F.concat_ws("\u0001", F.coalesce("name", F.lit("\u0000")), F.coalesce("tenant", F.lit("\u0000")))
+    rows = typed.select("id", pair.alias("pair")).join(jobs.select("id", "title", "location"), "id")
+    orgs = attributed.select(pair.alias("value"), F.array(F.concat(F.lit("o:"), F.coalesce("org", F.lit("")))).alias("tokens"))
+    orgs = orgs.join(rows.groupBy(F.col("pair").alias("value")).agg(F.count("*").alias("n")), "value")
 
     titles = jobs.filter("title is not null").groupBy(F.col("title").alias("value")).agg(F.count("*").alias("n"))
     mapped = durable(mapping.map_titles(spark, titles.select("value"), table(spark, sf_dir, "ref_titles")).join(titles, "value"))
     rare = mapping.settle_spellings(mapped.select("n", F.explode("extra").alias("word")))
-    each = mapped.select("value", F.explode("tokens").alias("word")).filter(~F.col("word").rlike(r"^\d+$")).join(rare, "word", "left")
-    words = each.groupBy("value").agg(F.array_sort(F.collect_set(F.concat(F.lit("t:"), F.coalesce("settled", "word")))).alias("title_tokens"))
-    words = durable(titles.join(words, "value", "left"))
+    each = mapped.select("value", "n", F.explode("tokens").alias("word")).filter(~F.col("word").rlike(r"^\d+$")).join(rare, "word", "left")
+    words = each.groupBy("value", "n").agg(F.array_sort(F.collect_set(F.concat(F.lit("t:"), F.coalesce("settled", "word")))).alias("tokens"))
 
     places = jobs.filter("location is not null").groupBy(F.col("location").alias("value")).agg(F.count("*").alias("n"))
     found = mapping.map_locations(spark, places.select("value"), table(spark, sf_dir, "ref_locations"))
     noise = F.array(*[F.lit(w) for w in sorted(set(mapping.PLACE_NOISE.split()) - {"remote", "city"})])
     known = F.array_sort(F.transform("ref_ids", lambda i: F.concat(F.lit("l:"), i)))
     other = F.array_sort(F.transform(F.array_except("tokens", noise), lambda w: F.concat(F.lit("l:"), w)))
-    spots = durable(found.join(places, "value").select("value", "n", F.when(F.size("ref_ids") > 0, known).otherwise(other).alias("place_tokens")))
+    spots = found.join(places, "value").select("value", "n", F.when(F.size("ref_ids") > 0, known).otherwise(other).alias("tokens"))
 
-    rows = jobs.select("id", "batch", names.requisition(F.col("source_job_id"), F.col("apply_url")).alias("req"), "title", "location")
-    rows = encode_join(rows.withColumnRenamed("title", "value"), "value", words, "n", total).drop("value")
-    rows = encode_join(rows.withColumnRenamed("location", "value"), "value", spots, "n", total).drop("value")
-    none = F.expr("array()").cast("array<string>")
-    tokens_ = F.concat(F.array(F.concat(F.lit("o:"), "org")), F.coalesce("title_tokens", none), F.coalesce("place_tokens", none))
-    return rows.join(orgs, "id").select("id", "batch", "req", F.array_sort(tokens_).alias("tokens"))
+    entries = [d.select(field_entry(i, F.col("value")).alias("entry"), "n", "tokens") for i, d in enumerate((orgs, words, spots))]
+    entries = durable(entries[0].unionByName(entries[1]).unionByName(entries[2]).filter(F.size("tokens") > 0))
+    codes = durable(entries.groupBy("tokens").agg(F.lit(1).alias("_")).select("tokens", F.monotonically_increasing_id().alias("code")))
+    dictionary = durable(entries.join(codes, "tokens").select("entry", "n", "code"))
+    coded = encode_fields(rows, {"o": "pair", "t": "title", "l": "location"}, dictionary, total)
+    keys = jobs.select("id", "batch", names.requisition(F.col("source_job_id"), F.col("apply_url")).alias("req"))
+    return keys.join(coded, "id"), codes
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = history.repeats(durable(_signatures(spark, sf_dir)))
+    found = history.repeats(*_signatures(spark, sf_dir))
     return found.select(F.col("first_id").alias("first_job_id"), F.col("id").alias("job_id"))
 
 
