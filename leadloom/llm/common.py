@@ -79,19 +79,20 @@ def similar_words(left: DataFrame, right: DataFrame, min_jaccard: float) -> Data
 
 
 def encode_join(rows: DataFrame, key: str, dictionary: DataFrame, n_col: str, total: int) -> DataFrame:
-    """Left join of ``rows`` with a dictionary of unique non-null ``key`` that holds each key's row count in ``n_col``.
+    """Left join of ``rows`` with a dictionary of unique non-null string ``key`` that holds each key's row count in ``n_col``.
 
     Keys that hold more than ``HOT`` of the rows are at most ``1 / HOT`` by counting, so
-    they are joined by broadcast; only the others are shuffled. ``n_col`` is dropped.
+    they are joined by broadcast; their rows then go through the shuffle of the others
+    under spread keys that match nothing. ``n_col`` is dropped.
     """
     floor = max(1, int(total * HOT))
-    hot = dictionary.filter(F.col(n_col) > floor).withColumn("_hot", F.lit(True))
-    cold = dictionary.filter(F.col(n_col) <= floor).drop(n_col)
-    marked = rows.join(F.broadcast(hot.drop(n_col)), key, "left")
-    values = [c for c in cold.columns if c != key]
-    hit = marked.filter(F.col("_hot")).drop("_hot")
-    rest = marked.filter(F.col("_hot").isNull()).drop("_hot", *values)
-    return hit.unionByName(rest.join(cold, key, "left").select(hit.columns))
+    values = [c for c in dictionary.columns if c not in (key, n_col)]
+    hot = dictionary.filter(F.col(n_col) > floor).select(key, F.lit(True).alias("_hot"), *[F.col(c).alias(f"_hot_{c}") for c in values])
+    cold = dictionary.filter(F.col(n_col) <= floor).select(F.col(key).alias("_key"), *[F.col(c).alias(f"_cold_{c}") for c in values])
+    spread = F.concat(F.lit("\u0000"), F.pmod(F.xxhash64(*rows.columns), F.lit(9973)).cast("string"))
+    marked = rows.join(F.broadcast(hot), key, "left").withColumn("_key", F.when(F.col("_hot") | F.col(key).isNull(), spread).otherwise(F.col(key)))
+    joined = marked.join(cold, "_key", "left")
+    return joined.select(*rows.columns, *[F.when(F.col("_hot"), F.col(f"_hot_{c}")).otherwise(F.col(f"_cold_{c}")).alias(c) for c in values])
 
 
 def encode_fields(rows: DataFrame, fields: dict[str, str], dictionary: DataFrame, total: int) -> DataFrame:

@@ -123,5 +123,6 @@ def collapse(df: DataFrame, id_col: str, text_cols: list[str], url_col: str) ->
     records = durable(encoded_records(df, id_col, text_cols, url_col))
     groups = records.groupBy("record").agg(F.min("id").alias("first_id"), F.count("*").alias("copies"))
     several = groups.filter("copies > 1")
-    members = encode_join(records, "record", several.select("record", F.col("copies").alias("n"), "first_id"), "n", records.count())
+    key = F.array_join("record", ",").alias("key")
+    members = encode_join(records.select("id", key), "key", several.select(key, F.col("copies").alias("n"), "first_id"), "n", records.count())
     return groups.select("first_id", "copies"), members.filter("first_id is not null and id <> first_id").select("first_id", "id")

@@ -76,7 +76,7 @@ def _with_org(rows: DataFrame, attributed: DataFrame) -> DataFrame:
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     typed, registry, attributed = _organisations(spark, sf_dir)
     by_hand = table(spark, sf_dir, "jobs").filter("source_registry_id is null").select("id")
-    jobs = _with_org(typed.join(by_hand, "id", "left_semi"), attributed).filter(F.col("posterior") >= names.MIN_POSTERIOR)
+    jobs = _with_org(typed.drop("req").join(by_hand, "id", "left_semi"), attributed).filter(F.col("posterior") >= names.MIN_POSTERIOR)
     listed = table(spark, sf_dir, "source_registry").filter("company is not null").select("id", "company")
     owners = _with_org(registry, attributed).select("id", "org").join(listed, "id").select(F.col("id").alias("registry_id"), "company", "org")
     owners = broadcast_if_small(owners, 100_000)
@@ -113,11 +113,11 @@ def _signatures(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     Codes are the integers of distinct token lists, so rows stay small: only the codes
     meet the rows, the tokens meet the distinct combinations later.
     """
-    jobs = table(spark, sf_dir, "jobs").select("id", "title", "location", "company", "source_job_id", "apply_url", F.coalesce("ingest_batch_id", F.lit("")).alias("batch"))
+    jobs = table(spark, sf_dir, "jobs").select("id", "title", "location", F.coalesce("ingest_batch_id", F.lit("")).alias("batch"))
     total = jobs.count()
     typed, _, attributed = _organisations(spark, sf_dir)
     pair = F.concat_ws("\u0001", F.coalesce("name", F.lit("\u0000")), F.coalesce("tenant", F.lit("\u0000")))
-    rows = typed.select("id", pair.alias("pair")).join(jobs.select("id", "title", "location"), "id")
+    rows = durable(typed.select("id", "req", pair.alias("pair")).join(jobs.select("id", "batch", "title", "location"), "id"))
     orgs = attributed.select(pair.alias("value"), F.array(F.concat(F.lit("o:"), F.coalesce("org", F.lit("")))).alias("tokens"))
     orgs = orgs.join(rows.groupBy(F.col("pair").alias("value")).agg(F.count("*").alias("n")), "value")
 
@@ -139,8 +139,7 @@ def _signatures(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     codes = durable(entries.groupBy("tokens").agg(F.lit(1).alias("_")).select("tokens", F.monotonically_increasing_id().alias("code")))
     dictionary = durable(entries.join(codes, "tokens").select("entry", "n", "code"))
     coded = encode_fields(rows, {"o": "pair", "t": "title", "l": "location"}, dictionary, total)
-    keys = jobs.select("id", "batch", names.requisition(F.col("source_job_id"), F.col("apply_url")).alias("req"))
-    return keys.join(coded, "id"), codes
+    return rows.select("id", "batch", "req").join(coded, "id"), codes
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
