@@ -75,17 +75,13 @@ def spelled(spark: SparkSession, words: DataFrame, lexicon: list[str] | DataFram
     """word, lexeme: the word of the lexicon each observed word spells; words without one are missing. ``exact_only``: codes that no typo may give."""
     if isinstance(lexicon, list):
         lexicon = spark.createDataFrame([(w,) for w in sorted(set(lexicon))], "lexeme string")
-    lexicon = lexicon.distinct()
-    observed = words.distinct()
-    exact = observed.join(lexicon, F.col("word") == F.col("lexeme"), "left_semi").withColumn("lexeme", F.col("word"))
-    other = observed.join(lexicon, F.col("word") == F.col("lexeme"), "left_anti").filter(F.length("word") >= 3)
-    loose = lexicon.filter(F.length("lexeme") >= 3)
+    pairs = similar_words(words.distinct(), lexicon.distinct(), MIN_JACCARD)
+    same = F.col("word") == F.col("lexeme")
+    typo = close_spelling(F.col("word"), F.col("lexeme")) & (F.length("word") >= 3) & (F.length("lexeme") >= 3)
+    typo &= (F.length("lexeme") >= 4) | (F.substring("word", 1, 1) == F.substring("lexeme", 1, 1))
     if exact_only:
-        loose = loose.filter(~F.col("lexeme").isin(sorted(exact_only)))
-    fuzzy = similar_words(other, loose, MIN_JACCARD)
-    fuzzy = fuzzy.filter(close_spelling(F.col("word"), F.col("lexeme")) & ((F.length("lexeme") >= 4) | (F.substring("word", 1, 1) == F.substring("lexeme", 1, 1))))
-    best = fuzzy.groupBy("word").agg(F.max_by("lexeme", F.struct("jaccard", -F.levenshtein("word", "lexeme"), F.length("lexeme"), "lexeme")).alias("lexeme"))
-    return exact.unionByName(best)
+        typo &= ~F.col("lexeme").isin(sorted(exact_only))
+    return pairs.filter(same | typo).groupBy("word").agg(F.max_by("lexeme", F.struct(same, "jaccard", -F.levenshtein("word", "lexeme"), F.length("lexeme"), "lexeme")).alias("lexeme"))
 
 
 def lexeme_values(spark: SparkSession, values: DataFrame, lexicon: list[str] | DataFrame, exact_only: set[str] = frozenset()) -> DataFrame:
