@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 
 #: Share of the rows from which a key counts as hot; so there are at most ``1 / HOT`` hot keys.
 HOT = 1 / 500
+#: Slack of bounds computed in floating point, so that no pair on the threshold is lost.
+EPSILON = 1e-9
 
 
 @lru_cache(maxsize=65536)
@@ -66,15 +68,15 @@ def similar_words(left: DataFrame, right: DataFrame, min_jaccard: float) -> Data
     rarity = sets.select(F.explode("g").alias("t")).groupBy("t").agg(F.count("*").alias("df"))
     ranked = sets.select("side", "w", F.explode("g").alias("t")).join(rarity, "t").groupBy("side", "w").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("r"))
     ranked = ranked.select("side", "w", F.transform("r", lambda x: x["t"]).alias("g"), F.size("r").alias("n"))
-    prefix = F.col("n") - F.ceil(F.col("n") * t).cast("int") + 1
+    prefix = F.col("n") - F.ceil(F.col("n") * t - EPSILON).cast("int") + 1
     posts = ranked.select("side", "w", "g", "n", F.posexplode(F.slice("g", F.lit(1), F.greatest(prefix, F.lit(1)))).alias("pos", "t"))
     a = posts.filter("side = 0").select(F.col("w").alias("word"), F.col("g").alias("ga"), F.col("n").alias("na"), F.col("pos").alias("pa"), "t")
     b = posts.filter("side = 1").select(F.col("w").alias("lexeme"), F.col("g").alias("gb"), F.col("n").alias("nb"), F.col("pos").alias("pb"), "t")
-    need = F.ceil((F.col("na") + F.col("nb")) * (t / (1 + t)))
-    fits = (F.col("na") >= F.col("nb") * t) & (F.col("nb") >= F.col("na") * t) & (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + F.least("pa", "pb") >= need)
+    need = F.ceil((F.col("na") + F.col("nb")) * (t / (1 + t)) - EPSILON)
+    fits = (F.col("na") >= F.col("nb") * t - EPSILON) & (F.col("nb") >= F.col("na") * t - EPSILON) & (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + F.least("pa", "pb") >= need)
     pairs = a.join(b, "t").filter(fits)
     shared = F.size(F.array_intersect("ga", "gb"))
-    scored = pairs.withColumn("jaccard", shared / (F.col("na") + F.col("nb") - shared)).filter(F.col("jaccard") >= t)
+    scored = pairs.withColumn("jaccard", shared / (F.col("na") + F.col("nb") - shared)).filter(F.col("jaccard") >= t - EPSILON)
     return scored.groupBy("word", "lexeme").agg(F.max("jaccard").alias("jaccard"))
 
 

@@ -84,14 +84,18 @@ def spelled(spark: SparkSession, words: DataFrame, lexicon: list[str] | DataFram
     return pairs.filter(same | typo).groupBy("word").agg(F.max_by("lexeme", F.struct(same, "jaccard", -F.levenshtein("word", "lexeme"), F.length("lexeme"), "lexeme")).alias("lexeme"))
 
 
-def lexeme_values(spark: SparkSession, values: DataFrame, lexicon: list[str] | DataFrame, exact_only: set[str] = frozenset()) -> DataFrame:
-    """value, lexemes (the value's words in order, spelled as the lexicon has them), extra (words it doesn't have)."""
-    worded = durable(values.select("value", fold_words(F.col("value")).alias("words")))
+def lexeme_values(spark: SparkSession, values: DataFrame, lexicon: list[str] | DataFrame, exact_only: set[str] = frozenset()) -> tuple[DataFrame, DataFrame]:
+    """``ids``: vid, value of each distinct value. ``spelt``: vid, lexemes (its words in order, spelled as the lexicon has them), extra (words it doesn't have).
+
+    Only ids travel with the words, so a very long value is never copied per word.
+    Values without words are in ``ids`` only.
+    """
+    worded = durable(values.select("value").withColumn("words", fold_words(F.col("value"))).withColumn("vid", F.monotonically_increasing_id()))
     links = spelled(spark, worded.select(F.explode("words").alias("word")), lexicon, exact_only)
-    each = worded.select("value", F.posexplode("words").alias("pos", "word")).join(links, "word", "left")
+    each = worded.select("vid", F.posexplode("words").alias("pos", "word")).join(links, "word", "left")
     parts = F.array_sort(F.collect_list(F.struct("pos", F.coalesce("lexeme", "word").alias("w"), F.col("lexeme").isNull().alias("x"))))
-    out = each.groupBy("value").agg(parts.alias("p"))
-    return out.select("value", F.transform("p", lambda x: x["w"]).alias("lexemes"), F.transform(F.filter("p", lambda x: x["x"]), lambda x: x["w"]).alias("extra"))
+    out = each.groupBy("vid").agg(parts.alias("p"))
+    return worded.select("vid", "value"), out.select("vid", F.transform("p", lambda x: x["w"]).alias("lexemes"), F.transform(F.filter("p", lambda x: x["x"]), lambda x: x["w"]).alias("extra"))
 
 
 def replace_phrases(words: list[str], table: dict[tuple[str, ...], list[str]], longest: int) -> list[str]:
@@ -130,16 +134,16 @@ def phrase_table(aliases: dict[str, str]) -> tuple[dict[tuple[str, ...], list[st
 def contained_entries(values: DataFrame, entries: DataFrame) -> DataFrame:
     """Entries whose words are all in a value.
 
-    ``values``: value, tokens (distinct). ``entries``: entry, tokens (distinct).
-    Rows: value, entry, jaccard. Joined through the entry's rarest word, verified exactly.
+    ``values``: vid, tokens (distinct). ``entries``: entry, tokens (distinct).
+    Rows: vid, entry, jaccard. Joined through the entry's rarest word, verified exactly.
     """
     rarity = entries.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count("*").alias("df"))
     ranked = entries.withColumn("t", F.explode("tokens")).join(rarity, "t").groupBy("entry", "tokens").agg(F.min(F.struct("df", "t")).alias("r"))
     keyed = ranked.select("entry", F.col("tokens").alias("et"), F.col("r.t").alias("t"))
-    posted = values.select("value", F.col("tokens").alias("vt"), F.explode("tokens").alias("t"))
-    pairs = posted.join(keyed, "t").filter(F.size("et") <= F.size("vt"))
+    posted = values.select("vid", F.explode("tokens").alias("t"))
+    pairs = posted.join(keyed, "t").drop("t").join(values.select("vid", F.col("tokens").alias("vt")), "vid").filter(F.size("et") <= F.size("vt"))
     pairs = pairs.filter(F.size(F.array_except("et", "vt")) == 0)
-    return pairs.select("value", "entry", (F.size("et") / F.size("vt")).alias("jaccard"))
+    return pairs.select("vid", "entry", (F.size("et") / F.size("vt")).alias("jaccard"))
 
 
 def map_titles(spark: SparkSession, values: DataFrame, titles: DataFrame) -> DataFrame:
@@ -155,9 +159,12 @@ def map_titles(spark: SparkSession, values: DataFrame, titles: DataFrame) -> Dat
     def expand(lists: pd.Series) -> pd.Series:
         return pd.Series([[w for w in replace_phrases(list(x), table, longest) if w not in noise] for x in lists], dtype=object)
 
-    spelt = durable(lexeme_values(spark, values, lexicon).withColumn("tokens", F.array_distinct(expand("lexemes"))))
-    best = contained_entries(spelt, ref).groupBy("value").agg(F.max_by("entry", F.struct("jaccard", -F.col("entry"))).alias("ref_id"))
-    return spelt.join(best, "value", "left").select("value", F.coalesce("ref_id", F.lit(0)).cast("int").alias("ref_id"), "tokens", "extra")
+    ids, spelt = lexeme_values(spark, values, lexicon)
+    spelt = durable(spelt.select("vid", "extra", F.array_distinct(expand("lexemes")).alias("tokens")))
+    best = contained_entries(spelt.select("vid", "tokens"), ref).groupBy("vid").agg(F.max_by("entry", F.struct("jaccard", -F.col("entry"))).alias("ref_id"))
+    none = F.expr("array()").cast("array<string>")
+    out = ids.join(spelt, "vid", "left").join(best, "vid", "left")
+    return out.select("value", F.coalesce("ref_id", F.lit(0)).cast("int").alias("ref_id"), F.coalesce("tokens", none).alias("tokens"), F.coalesce("extra", none).alias("extra"))
 
 
 def _choose(words: list[str], found: list, remote_entries: dict[str, int], phrases: dict, longest: int) -> list[int]:
@@ -248,16 +255,18 @@ def map_locations(spark: SparkSession, values: DataFrame, places: DataFrame) ->
         return pd.Series([_expand(list(x), table, longest_alias) for x in lists], dtype=object)
 
     codes = {w for k in phrases for w in k if len(k) == 1 and len(w) <= 3}
-    spelt = lexeme_values(spark, values, lexicon, codes)
-    spelt = durable(spelt.withColumn("words", expand("lexemes")).withColumn("tokens", F.array_distinct("words")))
+    ids, spelt = lexeme_values(spark, values, lexicon, codes)
+    spelt = durable(spelt.select("vid", expand("lexemes").alias("words")).withColumn("tokens", F.array_distinct("words")))
     entries = cities.select(F.struct("id", "name", "region", "country").alias("entry"), F.array_distinct("name").alias("tokens"))
-    hits = contained_entries(spelt.select("value", "tokens"), entries).groupBy("value").agg(F.collect_list("entry").alias("found"))
+    hits = contained_entries(spelt.select("vid", "tokens"), entries).groupBy("vid").agg(F.collect_list("entry").alias("found"))
 
     @F.pandas_udf(_MATCH)
     def choose(words: pd.Series, found: pd.Series) -> pd.Series:
         return pd.Series([_choose(list(w), list(f) if f is not None else [], remote, phrases, longest) for w, f in zip(words, found, strict=True)], dtype=object)
 
-    return spelt.join(hits, "value", "left").select("value", choose("words", "found").alias("ref_ids"), "tokens", "extra")
+    chosen = spelt.join(hits, "vid", "left").select("vid", choose("words", "found").alias("ref_ids"), "tokens")
+    out = ids.join(chosen, "vid", "left")
+    return out.select("value", F.coalesce("ref_ids", F.expr("array()").cast("array<int>")).alias("ref_ids"), F.coalesce("tokens", F.expr("array()").cast("array<string>")).alias("tokens"))
 
 
 #: Words beside a short name of a city.

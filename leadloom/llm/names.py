@@ -49,6 +49,8 @@ TENANT_WEIGHT = 10
 MIN_POSTERIOR = 0.5
 #: Cost of taking a typed spelling that no tenant confirms for a form of its own.
 NOVEL_COST = 3.0
+#: Most typos of a name written as one word.
+MOST_EDITS = 3
 
 _WORDS = T.StructType([T.StructField("words", T.ArrayType(T.StringType())), T.StructField("squash", T.StringType())])
 
@@ -162,7 +164,7 @@ def channel_cost(seen: tuple[str, ...], true: tuple[str, ...]) -> float:
         return 0.1
     best = 14.0
     if len(seen) <= 2:
-        most = 3 if len(b) > 12 else 2
+        most = MOST_EDITS if len(b) > 12 else 2
         if (d := _edits(a, b, most)) <= most:
             best = min(best, 1.0 + 2.0 * d)
         if 4 <= len(a) < len(b) and b.startswith(a):
@@ -242,9 +244,11 @@ def attribute(spellings: DataFrame) -> DataFrame:
 
     zero = F.lit(0.0).alias("vote")
     by_tenant = pairs.filter("tenant is not null").select("name", "tenant", F.col("tenant").alias("key"), zero)
-    loose = durable(pairs.filter("tenant is null and squash is not null").select("squash", "words").distinct())
-    same = loose.select("squash", F.col("squash").alias("key"), zero)
-    voted = votes.join(loose.select("squash").distinct(), "squash", "left_semi")
+    # From here on a loose spelling is its integer ``lid``, so long names are not copied per word.
+    loose = pairs.filter("tenant is null and squash is not null").groupBy("squash").agg(F.max("words").alias("words"))
+    loose = durable(loose.withColumn("lid", F.monotonically_increasing_id()))
+    same = loose.select("lid", F.col("squash").alias("key"), zero)
+    voted = votes.join(loose.select("lid", "squash"), "squash").select("lid", "key", "vote")
 
     known = forms.filter("known")
     # Rarest words of the known forms, with every other word that is about as rare.
@@ -259,17 +263,20 @@ def attribute(spellings: DataFrame) -> DataFrame:
         close_spelling(F.col("word"), F.col("lexeme")) | (F.col("jaccard") >= 0.5)
     )
     near = near.select("word", "lexeme").unionByName(typed_words.select("word", F.col("word").alias("lexeme"))).distinct()
-    by_word = loose.select("squash", F.explode("words").alias("word")).join(near, "word").join(index, "lexeme").select("squash", "key", zero)
-    long = loose.filter(F.size("words") <= 2).select(F.col("squash").alias("word")).filter(F.length("word") >= 8).distinct()
-    by_letters = similar_words(long, known.select(F.col("key").alias("lexeme")).filter(F.length("lexeme") >= 8), 0.6).select(F.col("word").alias("squash"), F.col("lexeme").alias("key"), zero)
+    by_word = loose.select("lid", F.explode("words").alias("word")).join(near, "word").join(index, "lexeme").select("lid", "key", zero)
+    longest = (known.agg(F.max(F.length("key"))).first()[0] or 0) + MOST_EDITS
+    long = loose.filter((F.size("words") <= 2) & F.length("squash").between(8, longest)).select("lid", F.col("squash").alias("word"))
+    by_letters = similar_words(long.select("word"), known.select(F.col("key").alias("lexeme")).filter(F.length("lexeme") >= 8), 0.6)
+    by_letters = by_letters.join(long, "word").select("lid", F.col("lexeme").alias("key"), zero)
     cut = known.select("key", F.explode(F.sequence(F.lit(4), F.lit(12))).alias("k")).filter(F.length("key") > F.col("k")).select("key", F.expr("substring(key, 1, k)").alias("squash"))
-    by_cut = loose.filter(F.size("words") == 1).select("squash").distinct().join(cut, "squash").select("squash", "key", zero)
+    by_cut = loose.filter(F.size("words") == 1).select("lid", "squash").join(cut, "squash").select("lid", "key", zero)
     first = known.filter(F.size("words") >= 2).select("key", F.array_join(F.transform("words", lambda w: F.substring(w, 1, 1)), "").alias("squash"))
-    by_initials = loose.filter(F.length("squash").between(2, 6)).select("squash").distinct().join(first, "squash").select("squash", "key", zero)
+    by_initials = loose.filter(F.length("squash").between(2, 6)).select("lid", "squash").join(first, "squash").select("lid", "key", zero)
 
-    found = same.unionByName(voted.select("squash", "key", "vote")).unionByName(by_word).unionByName(by_letters).unionByName(by_cut).unionByName(by_initials)
-    found = found.groupBy("squash", "key").agg(F.max("vote").alias("vote")).join(forms.select("key", F.col("words").alias("true"), "freq", "known"), "key")
-    per_loose = found.groupBy("squash").agg(F.collect_list(F.struct("key", F.col("true").alias("words"), "freq", "vote", "known")).alias("candidates"))
+    found = same.unionByName(voted).unionByName(by_word).unionByName(by_letters).unionByName(by_cut).unionByName(by_initials)
+    found = found.groupBy("lid", "key").agg(F.max("vote").alias("vote")).join(forms.select("key", F.col("words").alias("true"), "freq", "known"), "key")
+    per_loose = found.groupBy("lid").agg(F.collect_list(F.struct("key", F.col("true").alias("words"), "freq", "vote", "known")).alias("candidates"))
+    per_loose = loose.select("lid", "squash").join(per_loose, "lid").drop("lid")
     without = pairs.filter("tenant is null").select("name", "tenant", "words", "squash").join(per_loose, "squash", "left").drop("squash")
     per_tenant = by_tenant.join(forms.select("key", F.col("words").alias("true"), "freq", "known"), "key").groupBy("name", "tenant").agg(F.collect_list(F.struct("key", F.col("true").alias("words"), "freq", "vote", "known")).alias("candidates"))
     with_tenant = pairs.filter("tenant is not null").select(F.coalesce("name", F.lit("\u0000")).alias("name"), "tenant", "words")

@@ -101,7 +101,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
             mapped = mapping.map_locations(spark, values.select("value"), places).select("value", "ref_ids")
         else:
             mapped = mapping.map_titles(spark, values.select("value"), titles).select("value", F.array("ref_id").alias("ref_ids"))
-        mapped = durable(mapped.join(values, "value").withColumn("ref_ids", F.when(F.size("ref_ids") > 0, F.col("ref_ids")).otherwise(F.array(F.lit(0)))))
+        mapped = durable(values.join(mapped, "value", "left").withColumn("ref_ids", F.when(F.size("ref_ids") > 0, F.col("ref_ids")).otherwise(F.array(F.lit(0)))))
         rows = encode_join(jobs.select("id", F.col(field).alias("value")).filter("value is not null"), "value", mapped, "n", total)
         out.append(rows.select(F.col("id").alias("job_id"), F.lit(field).alias("field_name"), F.explode("ref_ids").alias("ref_id")))
     return out[0].unionByName(out[1])
