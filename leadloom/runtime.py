@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 
@@ -37,6 +38,16 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of what finished phases of a long query held.
+
+    Shuffle files and checkpoints are only dropped once the driver's garbage is
+    collected, which a driver with room to spare may not do before a disk is full.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path under the shared folder, for a table written and read again."""
     return f"{shared_dir(spark)}/{label}-{os.urandom(8).hex()}"
