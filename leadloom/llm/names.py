@@ -285,9 +285,9 @@ def attribute(spellings: DataFrame) -> DataFrame:
     return durable(every.withColumn("a", _attribute("words", "tenant", "candidates")).select("name", "tenant", F.col("a.key").alias("org"), "a.posterior"))
 
 
-def with_tenants(rows: DataFrame, name: str, job_id: str, url: str) -> DataFrame:
-    """id, name, tenant, req: the tenant of a row's URL, else the one tenant that rows of the same requisition have."""
-    keyed = durable(rows.select("id", F.col(name).alias("name"), tenant(F.col(url)).alias("own"), requisition(F.col(job_id), F.col(url)).alias("req")))
+def with_tenants(rows: DataFrame, name: str, job_id: str, url: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """id, name, tenant, req and the columns to ``keep``: the tenant of a row's URL, else the one tenant that rows of the same requisition have."""
+    keyed = durable(rows.select("id", F.col(name).alias("name"), tenant(F.col(url)).alias("own"), requisition(F.col(job_id), F.col(url)).alias("req"), *keep))
     per = keyed.filter("req is not null and own is not null").groupBy("req").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).filter("lo = hi").select("req", F.col("lo").alias("other"))
-    lacking = keyed.filter("own is null and req is not null").join(per, "req", "left").select("id", "name", F.col("other").alias("tenant"), "req")
-    return keyed.filter("own is not null or req is null").select("id", "name", F.col("own").alias("tenant"), "req").unionByName(lacking)
+    lacking = keyed.filter("own is null and req is not null").join(per, "req", "left").select("id", "name", F.col("other").alias("tenant"), "req", *keep)
+    return keyed.filter("own is not null or req is null").select("id", "name", F.col("own").alias("tenant"), "req", *keep).unionByName(lacking)

@@ -10,7 +10,7 @@ from leadloom.llm.common import encode_fields, encode_join, field_entry
 from leadloom.llm.survivors import Field, survivors
 from leadloom.operators.moments import normalise_moments, utc_text
 from leadloom.operators.quantities import stated_pay
-from leadloom.runtime import bounded_rows, broadcast_if_small, durable, table
+from leadloom.runtime import bounded_rows, broadcast_if_small, durable, release, table
 
 #: Statuses of a job, best first.
 STATUS_ORDER = ("offer", "rejected", "interview", "assessment", "recruiter_screen", "applied", "skipped", "opened", "new", "invalid_location", "superseded")
@@ -55,10 +55,10 @@ def p1_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivors(rows, "canonical_apply_url", "id", fields, F.coalesce(trust, F.lit(0.3)), age)
 
 
-def _organisations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _organisations(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Spellings of jobs (id, name, tenant), of the registry (the same), and their attribution."""
-    jobs = table(spark, sf_dir, "jobs").select("id", "company", "source_job_id", "apply_url")
-    typed = durable(names.with_tenants(jobs, "company", "source_job_id", "apply_url"))
+    jobs = table(spark, sf_dir, "jobs").select("id", "company", "source_job_id", "apply_url", *keep)
+    typed = durable(names.with_tenants(jobs, "company", "source_job_id", "apply_url", keep))
     registry = table(spark, sf_dir, "source_registry").select("id", F.coalesce("company", "label").alias("name"), names.tenant(F.col("normalized_url")).alias("tenant"))
     seen = typed.select("name", "tenant").unionByName(registry.select("name", "tenant")).groupBy("name", "tenant").agg(F.count("*").alias("n"))
     return typed, registry, names.attribute(seen)
@@ -113,11 +113,12 @@ def _signatures(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     Codes are the integers of distinct token lists, so rows stay small: only the codes
     meet the rows, the tokens meet the distinct combinations later.
     """
-    jobs = table(spark, sf_dir, "jobs").select("id", "title", "location", F.coalesce("ingest_batch_id", F.lit("")).alias("batch"))
+    typed, _, attributed = _organisations(spark, sf_dir, ("title", "location", "ingest_batch_id"))
+    jobs = typed.withColumn("batch", F.coalesce("ingest_batch_id", F.lit("")))
     total = jobs.count()
-    typed, _, attributed = _organisations(spark, sf_dir)
+    release(spark)
     pair = F.concat_ws("\u0001", F.coalesce("name", F.lit("\u0000")), F.coalesce("tenant", F.lit("\u0000")))
-    rows = durable(typed.select("id", "req", pair.alias("pair")).join(jobs.select("id", "batch", "title", "location"), "id"))
+    rows = jobs.select("id", "req", pair.alias("pair"), "batch", "title", "location")
     orgs = attributed.select(pair.alias("value"), F.array(F.concat(F.lit("o:"), F.coalesce("org", F.lit("")))).alias("tokens"))
     orgs = orgs.join(rows.groupBy(F.col("pair").alias("value")).agg(F.count("*").alias("n")), "value")
 
@@ -127,6 +128,8 @@ def _signatures(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     each = mapped.select("value", "n", F.explode("tokens").alias("word")).filter(~F.col("word").rlike(r"^\d+$")).join(rare, "word", "left")
     words = each.groupBy("value", "n").agg(F.array_sort(F.collect_set(F.concat(F.lit("t:"), F.coalesce("settled", "word")))).alias("tokens"))
 
+    words = durable(words)
+    release(spark)
     places = jobs.filter("location is not null").groupBy(F.col("location").alias("value")).agg(F.count("*").alias("n"))
     found = mapping.map_locations(spark, places.select("value"), table(spark, sf_dir, "ref_locations"))
     noise = F.array(*[F.lit(w) for w in sorted(set(mapping.PLACE_NOISE.split()) - {"remote", "city"})])
@@ -137,6 +140,7 @@ def _signatures(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     entries = [d.select(field_entry(i, F.col("value")).alias("entry"), "n", "tokens") for i, d in enumerate((orgs, words, spots))]
     entries = durable(entries[0].unionByName(entries[1]).unionByName(entries[2]).filter(F.size("tokens") > 0))
     codes = durable(entries.groupBy("tokens").agg(F.lit(1).alias("_")).select("tokens", F.monotonically_increasing_id().alias("code")))
+    release(spark)
     dictionary = durable(entries.join(codes, "tokens").select("entry", "n", "code"))
     coded = encode_fields(rows, {"o": "pair", "t": "title", "l": "location"}, dictionary, total)
     return rows.select("id", "batch", "req").join(coded, "id"), codes
