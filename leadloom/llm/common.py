@@ -51,13 +51,14 @@ def close_spelling(a: Column, b: Column) -> Column:
     return (distance.between(0, 1)) | ((distance == 2) & (same_letters | (F.least(F.length(a), F.length(b)) >= 8)))
 
 
-def similar_words(left: DataFrame, right: DataFrame, min_jaccard: float) -> DataFrame:
+def similar_words(left: DataFrame, right: DataFrame, min_jaccard: float, max_gap: int | None = None) -> DataFrame:
     """Prefix-filter set-similarity join of words by their letter pairs.
 
     ``left``: word. ``right``: lexeme. Both distinct. Pairs are ordered by global
     rarity, only the rare prefix of each set is joined, the length and positional
     filters drop what can't reach ``min_jaccard``, and the Jaccard value is then
-    verified exactly. Every pair that reaches it comes out.
+    verified exactly. Every pair that reaches it comes out; ``max_gap`` leaves out pairs
+    whose lengths differ by more, for callers that allow so few edits anyway.
 
     Rows: word, lexeme, jaccard.
     """
@@ -74,6 +75,8 @@ def similar_words(left: DataFrame, right: DataFrame, min_jaccard: float) -> Data
     b = posts.filter("side = 1").select(F.col("w").alias("lexeme"), F.col("g").alias("gb"), F.col("n").alias("nb"), F.col("pos").alias("pb"), "t")
     need = F.ceil((F.col("na") + F.col("nb")) * (t / (1 + t)) - EPSILON)
     fits = (F.col("na") >= F.col("nb") * t - EPSILON) & (F.col("nb") >= F.col("na") * t - EPSILON) & (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + F.least("pa", "pb") >= need)
+    if max_gap is not None:
+        fits = fits & (F.abs(F.length("word") - F.length("lexeme")) <= max_gap)
     pairs = a.join(b, "t").filter(fits)
     shared = F.size(F.array_intersect("ga", "gb"))
     scored = pairs.withColumn("jaccard", shared / (F.col("na") + F.col("nb") - shared)).filter(F.col("jaccard") >= t - EPSILON)

@@ -75,7 +75,7 @@ def spelled(spark: SparkSession, words: DataFrame, lexicon: list[str] | DataFram
     """word, lexeme: the word of the lexicon each observed word spells; words without one are missing. ``exact_only``: codes that no typo may give."""
     if isinstance(lexicon, list):
         lexicon = spark.createDataFrame([(w,) for w in sorted(set(lexicon))], "lexeme string")
-    pairs = similar_words(words.distinct(), lexicon.distinct(), MIN_JACCARD)
+    pairs = similar_words(words.distinct(), lexicon.distinct(), MIN_JACCARD, max_gap=2)
     same = F.col("word") == F.col("lexeme")
     typo = close_spelling(F.col("word"), F.col("lexeme")) & (F.length("word") >= 3) & (F.length("lexeme") >= 3)
     typo &= (F.length("lexeme") >= 4) | (F.substring("word", 1, 1) == F.substring("lexeme", 1, 1))
@@ -87,15 +87,18 @@ def spelled(spark: SparkSession, words: DataFrame, lexicon: list[str] | DataFram
 def lexeme_values(spark: SparkSession, values: DataFrame, lexicon: list[str] | DataFrame, exact_only: set[str] = frozenset()) -> tuple[DataFrame, DataFrame]:
     """``ids``: vid, value of each distinct value. ``spelt``: vid, lexemes (its words in order, spelled as the lexicon has them), extra (words it doesn't have).
 
-    Only ids travel with the words, so a very long value is never copied per word.
-    Values without words are in ``ids`` only.
+    Values with the same folded words share a vid and are handled once. Only ids travel
+    with the words, so a very long value is never copied per word. Values without words
+    are in ``ids`` only.
     """
-    worded = durable(values.select("value").withColumn("words", fold_words(F.col("value"))).withColumn("vid", F.monotonically_increasing_id()))
-    links = spelled(spark, worded.select(F.explode("words").alias("word")), lexicon, exact_only)
-    each = worded.select("vid", F.posexplode("words").alias("pos", "word")).join(links, "word", "left")
+    worded = durable(values.select("value", F.array_join(fold_words(F.col("value")), " ").alias("form")))
+    forms = durable(worded.groupBy("form").agg(F.lit(1).alias("_")).select("form", F.monotonically_increasing_id().alias("vid")))
+    split = forms.filter("form <> ''").select("vid", F.posexplode(F.split("form", " ")).alias("pos", "word"))
+    links = spelled(spark, split.select("word"), lexicon, exact_only)
+    each = split.join(links, "word", "left")
     parts = F.array_sort(F.collect_list(F.struct("pos", F.coalesce("lexeme", "word").alias("w"), F.col("lexeme").isNull().alias("x"))))
     out = each.groupBy("vid").agg(parts.alias("p"))
-    return worded.select("vid", "value"), out.select("vid", F.transform("p", lambda x: x["w"]).alias("lexemes"), F.transform(F.filter("p", lambda x: x["x"]), lambda x: x["w"]).alias("extra"))
+    return worded.join(forms, "form").select("vid", "value"), out.select("vid", F.transform("p", lambda x: x["w"]).alias("lexemes"), F.transform(F.filter("p", lambda x: x["x"]), lambda x: x["w"]).alias("extra"))
 
 
 def replace_phrases(words: list[str], table: dict[tuple[str, ...], list[str]], longest: int) -> list[str]:
@@ -120,7 +123,7 @@ def settle_spellings(words: DataFrame, ratio: int = 8) -> DataFrame:
     counts = durable(words.groupBy("word").agg(F.sum("n").alias("n")).filter(F.length("word") >= 4))
     if counts.limit(1).count() == 0:
         return counts.select("word", F.col("word").alias("settled"))
-    pairs = similar_words(counts.select("word"), counts.select(F.col("word").alias("lexeme")), 0.4).filter(F.col("word") != F.col("lexeme"))
+    pairs = similar_words(counts.select("word"), counts.select(F.col("word").alias("lexeme")), 0.4, max_gap=2).filter(F.col("word") != F.col("lexeme"))
     pairs = pairs.filter(close_spelling(F.col("word"), F.col("lexeme")))
     pairs = pairs.join(counts, "word").join(counts.select(F.col("word").alias("lexeme"), F.col("n").alias("m")), "lexeme").filter(F.col("m") >= F.col("n") * ratio)
     return pairs.groupBy("word").agg(F.max_by("lexeme", F.struct("m", "jaccard", "lexeme")).alias("settled"))

@@ -266,7 +266,7 @@ def attribute(spellings: DataFrame) -> DataFrame:
     by_word = loose.select("lid", F.explode("words").alias("word")).join(near, "word").join(index, "lexeme").select("lid", "key", zero)
     longest = (known.agg(F.max(F.length("key"))).first()[0] or 0) + MOST_EDITS
     long = loose.filter((F.size("words") <= 2) & F.length("squash").between(8, longest)).select("lid", F.col("squash").alias("word"))
-    by_letters = similar_words(long.select("word"), known.select(F.col("key").alias("lexeme")).filter(F.length("lexeme") >= 8), 0.6)
+    by_letters = similar_words(long.select("word"), known.select(F.col("key").alias("lexeme")).filter(F.length("lexeme") >= 8), 0.6, max_gap=MOST_EDITS)
     by_letters = by_letters.join(long, "word").select("lid", F.col("lexeme").alias("key"), zero)
     cut = known.select("key", F.explode(F.sequence(F.lit(4), F.lit(12))).alias("k")).filter(F.length("key") > F.col("k")).select("key", F.expr("substring(key, 1, k)").alias("squash"))
     by_cut = loose.filter(F.size("words") == 1).select("lid", "squash").join(cut, "squash").select("lid", "key", zero)
