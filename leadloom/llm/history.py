@@ -18,10 +18,13 @@ the least id; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leadloom.llm.common import EPSILON, encode_join
+from leadloom.llm.names import _edits
 from leadloom.runtime import durable, scratch_path
 
 
@@ -44,17 +47,17 @@ class PostingIndex:
     def _prefixes(self, sets: DataFrame) -> DataFrame:
         """set (key), tokens, size, token: one row per token of the prefix.
 
-        A threshold of 1 needs the rarest token only; ``sets`` may bring it as ``rarest``
-        (struct of n and token, by :meth:`ranks`).
+        ``sets`` may bring their tokens in order of rarity already, as ``ordered`` instead of ``tokens``.
         """
-        ranks = self.ranks()
-        keyed = sets.withColumn("size", F.size("tokens")).filter("size > 0")
-        if self.threshold == 1.0 and "rarest" in sets.columns:
-            return keyed.select("key", "tokens", "size", F.col("rarest.token").alias("token")).withColumn("bucket", F.pmod(F.hash("token"), F.lit(self.buckets)))
-        each = keyed.select("key", "tokens", "size", F.explode("tokens").alias("token")).join(ranks, "token", "left")
-        ordered = each.groupBy("key", "tokens", "size").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token"))).alias("o"))
         keep = F.col("size") - F.ceil(F.col("size") * self.threshold - EPSILON).cast("int") + 1
-        out = ordered.select("key", "tokens", "size", F.explode(F.slice("o", F.lit(1), keep)).alias("x")).select("key", "tokens", "size", "x.token")
+        if "ordered" in sets.columns:
+            ordered = sets.select("key", F.col("ordered").alias("tokens"), F.size("ordered").alias("size"), F.col("ordered").alias("o")).filter("size > 0")
+        else:
+            keyed = sets.withColumn("size", F.size("tokens")).filter("size > 0")
+            each = keyed.select("key", "tokens", "size", F.explode("tokens").alias("token")).join(self.ranks(), "token", "left")
+            ordered = each.groupBy("key", "tokens", "size").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token"))).alias("o"))
+            ordered = ordered.withColumn("o", F.transform("o", lambda x: x["token"]))
+        out = ordered.select("key", "tokens", "size", F.explode(F.slice("o", F.lit(1), keep)).alias("token"))
         return out.withColumn("bucket", F.pmod(F.hash("token"), F.lit(self.buckets)))
 
     def append(self, sets: DataFrame) -> None:
@@ -73,37 +76,82 @@ class PostingIndex:
 
 
 _CODES = ("o", "t", "l")
+#: Jaccard value from which two sets are compared: of a title of two words beside its organisation and place, one may be misspelled.
+LEAST_OVERLAP = 0.5
+#: How much more frequent a word has to be than its misspelling, as in :func:`leadloom.llm.mapping.settle_spellings`.
+RATIO = 8
+
+
+def same_title(a: dict[str, int], b: dict[str, int]) -> bool:
+    """Whether two titles (word to frequency) agree but for misspellings of words far more frequent: one edit or swap, two in words of six letters."""
+    left, right = sorted(a.keys() - b.keys()), set(b.keys() - a.keys())
+    if len(left) != len(right):
+        return False
+
+    def misspelled(x: str, y: str) -> bool:
+        most = 2 if min(len(x), len(y)) >= 6 else 1
+        return min(len(x), len(y)) >= 4 and max(a[x], b[y]) >= RATIO * min(a[x], b[y]) and not any(c.isdigit() for c in x + y) and _edits(x, y, most) <= most
+
+    def paired(i: int, free: set[str]) -> bool:
+        return i == len(left) or any(paired(i + 1, free - {y}) for y in sorted(free) if misspelled(left[i], y))
+
+    return paired(0, right)
+
+
+@F.pandas_udf(T.BooleanType())
+def _same_title(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([same_title({w["token"]: w["n"] for w in x}, {w["token"]: w["n"] for w in y}) for x, y in zip(a, b, strict=True)], dtype=bool)
 
 
 def openings(rows: DataFrame, codes: DataFrame, index: PostingIndex) -> DataFrame:
-    """id, batch, opening: the requisition, else the earliest requisition whose rows have the same set, else the set.
+    """id, batch, opening: the requisition; else the earliest requisition whose rows have the same set, or the nearest one's; else the earliest set without one that is the same.
 
     ``rows``: id, batch, req and the codes o, t, l of token lists; ``codes``: code, tokens.
+    Sets are the same if organisation and place are equal and the titles are by
+    :func:`same_title`. The tokens of the index are the words of the title, each with
+    organisation and place, and those two by themselves, so postings stay short. All
+    batches are probed in one pass: the order (batch, id) decides which set is the earlier.
     """
     key = F.concat_ws("-", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in _CODES])
     sets = rows.groupBy(*_CODES).agg(
-        F.min(F.when(F.col("req").isNotNull(), F.struct("batch", "id", "req"))).alias("earliest"), F.count(F.when(F.col("req").isNull(), 1)).alias("without")
+        F.min(F.when(F.col("req").isNotNull(), F.struct("batch", "id", "req"))).alias("earliest"),
+        F.min(F.when(F.col("req").isNull(), F.struct("batch", "id"))).alias("first"),
+        F.count(F.when(F.col("req").isNull(), 1)).alias("without"),
     )
-    sets = durable(sets)
-    used = [sets.groupBy(F.col(c).alias("code")).agg(F.count("*").alias("n")) for c in _CODES]
-    each = codes.select("code", F.explode("tokens").alias("token"))
-    index.create(used[0].unionByName(used[1]).unionByName(used[2]).join(each, "code").select("token", "n"))
-    rarest = each.join(index.ranks(), "token").groupBy("code").agg(F.min(F.struct("n", "token")).alias("rarest"))
-    ranked = codes.join(rarest, "code")
-    for c in _CODES:
-        sets = sets.join(ranked.select(F.col("code").alias(c), F.col("tokens").alias(f"tokens_{c}"), F.col("rarest").alias(f"rarest_{c}")), c, "left")
-    none = F.expr("array()").cast("array<string>")
-    tokens = F.array_sort(F.concat(*[F.coalesce(f"tokens_{c}", none) for c in _CODES]))
-    sets = durable(sets.select(key.alias("key"), "earliest", "without", tokens.alias("tokens"), F.least(*[f"rarest_{c}" for c in _CODES]).alias("rarest")))
-    index.append(sets.filter("earliest is not null").select("key", "tokens", "rarest"))
-    hits = index.probe(sets.filter("without > 0").select("key", "tokens", "rarest"))
-    owner = hits.join(sets.select("key", "earliest"), "key").groupBy("probe").agg(F.max_by("earliest.req", F.struct("jaccard", F.col("probe") == F.col("key"))).alias("owner"))
-    named = sets.filter("without > 0").join(owner, F.col("key") == F.col("probe"), "left").select("key", "without", "owner", F.size("tokens").alias("size"))
-    named = durable(named.withColumnRenamed("without", "n"))
+    sets = durable(sets.filter(F.coalesce(*_CODES).isNotNull()))
+    used = sets.groupBy(F.col("t").alias("code")).agg(F.count("*").alias("n"))
+    each = codes.select("code", F.explode("tokens").alias("token")).join(used, "code")
+    index.create(each.select("token", "n"))
+    words = each.select("code", "token").join(index.ranks(), "token").groupBy(F.col("code").alias("t")).agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("words"))
+    none = F.expr("array()").cast("array<struct<n:bigint,token:string>>")
+    # Every token holds organisation and place, so sets of other blocks than the probes' can't be hit.
+    block = F.concat_ws("-", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("o", "l")])
+    probed = sets.filter("without > 0").select(block.alias("block")).distinct()
+    sets = sets.withColumn("block", block).join(probed, "block", "left_semi").join(words, "t", "left")
+    sets = durable(sets.select(key.alias("key"), "earliest", "first", "without", F.coalesce("words", none).alias("words"), "block"))
+    ordered = sets.select("key", "without", F.concat(F.transform("words", lambda w: F.concat("block", F.lit(":"), w["token"])), F.array("block")).alias("ordered"))
+    index.append(ordered.select("key", "ordered"))
+    hits = index.probe(ordered.filter("without > 0").select("key", "ordered"))
+    other = sets.select("key", "earliest", "first", "words")
+    own = sets.filter("without > 0").select(F.col("key").alias("probe"), F.col("first").alias("own_first"), F.col("words").alias("own_words"))
+    pairs = hits.join(own, "probe").join(other, "key")
+    gaps = [F.size(F.array_except(*x)) for x in (("words", "own_words"), ("own_words", "words"))]
+    pairs = durable(pairs.filter(gaps[0] == gaps[1]))
+    same = pairs.filter("probe = key").unionByName(pairs.filter("probe <> key").filter(_same_title("own_words", "words")))
+    owner = F.min_by("earliest.req", F.when(F.col("earliest").isNotNull(), F.struct(-F.col("jaccard"), F.col("earliest.batch"), F.col("earliest.id"))))
+    parent = F.min_by("key", F.when(F.col("first") < F.col("own_first"), F.col("first")))
+    found = durable(same.groupBy("probe").agg(owner.alias("owner"), parent.alias("parent")))
+    # A set follows the earlier one it repeats to that one's opening.
+    text = F.when(F.col("owner").isNull(), F.coalesce("parent", "probe"))
+    settled = found.select("probe", "owner", text.alias("parent"))
+    up = found.select(F.col("probe").alias("parent"), F.col("owner").alias("up_owner"), F.col("parent").alias("up"))
+    while settled.filter("owner is null and parent <> probe").join(up, "parent").filter("up_owner is not null or up is not null").limit(1).count():
+        moved = settled.join(up, "parent", "left").select("probe", F.coalesce("owner", "up_owner").alias("owner"), F.coalesce("up", "parent").alias("parent"))
+        settled = durable(moved)
+    named = settled.join(sets.select(F.col("key").alias("probe"), F.col("without").alias("n")), "probe")
+    named = named.select(F.col("probe").alias("key"), "n", F.coalesce(F.concat(F.lit("r:"), "owner"), F.concat(F.lit("s:"), "parent")).alias("opening"))
     lacking = rows.filter("req is null").select("id", "batch", key.alias("key"))
-    lacking = encode_join(lacking, "key", named, "n", rows.count())
-    text = F.when(F.col("size") > 0, F.concat(F.lit("s:"), "key"))
-    found = lacking.select("id", "batch", F.coalesce(F.concat(F.lit("r:"), "owner"), text).alias("opening"))
+    found = encode_join(lacking, "key", durable(named), "n", rows.count()).select("id", "batch", "opening")
     return found.unionByName(rows.filter("req is not null").select("id", "batch", F.concat(F.lit("r:"), "req").alias("opening")))
 
 
@@ -111,7 +159,7 @@ def repeats(rows: DataFrame, codes: DataFrame) -> DataFrame:
     """first_id, id: each row whose opening has a row in an earlier batch. ``rows`` and ``codes`` as in :func:`openings`; batch is never null."""
     spark = rows.sparkSession
     rows = durable(rows)
-    named = openings(rows, codes, PostingIndex(spark, scratch_path(spark, "postings"))).filter("opening is not null")
+    named = openings(rows, codes, PostingIndex(spark, scratch_path(spark, "postings"), LEAST_OVERLAP)).filter("opening is not null")
     first = named.groupBy("opening").agg(F.min(F.struct("batch", "id")).alias("f"), F.max("batch").alias("last"), F.count("*").alias("n"))
     first = durable(first.filter(F.col("last") > F.col("f.batch")).select("opening", "n", F.col("f.batch").alias("first_batch"), F.col("f.id").alias("first_id")))
     joined = encode_join(named, "opening", first, "n", rows.count())

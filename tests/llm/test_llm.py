@@ -284,6 +284,15 @@ def test_repeats(spark):
     assert history.repeats(df.limit(0), codes).count() == 0
 
 
+def test_repeats_with_misspelled_titles(spark):
+    titles = {10: ["t:data", "t:senior"], 11: ["t:data", "t:senniir"], 12: ["t:data", "t:senniro"], 13: ["t:data", "t:staff"]}
+    codes = spark.createDataFrame([(1, ["o:a"]), (2, ["o:b"]), (3, ["l:1"])] + [(c, w) for c, w in titles.items()] + [(c, ["t:senior", f"t:x{c}"]) for c in range(20, 50)], "code long, tokens array<string>")
+    r = [(1, "b1", "r1", 1, 10, 3), (2, "b2", None, 1, 11, 3), (3, "b2", None, 1, 13, 3), (4, "b2", None, 2, 11, 3), (5, "b3", None, 2, 10, 3), (6, "b4", None, 2, 12, 3), (7, "b4", None, 1, 11, None)]
+    r += [(100 + c, "b0", f"q{c}", 1, c, None) for c in range(20, 50)]
+    df = spark.createDataFrame(r, "id long, batch string, req string, o long, t long, l long")
+    assert rows(history.repeats(df, codes)) == [(1, 2), (4, 5), (4, 6)]
+
+
 def test_p6_against_requisitions(spark, sf):
     jobs = spark.read.parquet(f"{sf}/jobs.parquet").select("id", F.coalesce("ingest_batch_id", F.lit("")).alias("b"), names.requisition(F.col("source_job_id"), F.col("apply_url")).alias("r")).collect()
     first = {}
