@@ -6,7 +6,10 @@ form; its prior is its frequency, with tenant spellings counted ``TENANT_WEIGHT`
 because no person typed them. The channel turns a canonical form into a typed name by
 typos, abbreviations, dropped words, truncation, initials, another order of the words and
 added words; its costs are negative log likelihoods. Each distinct (name, tenant) pair is
-attached to its maximum posterior.
+attached to its maximum posterior. The tenant of a row is one more observation of it: any
+other form pays ``OTHER_TENANT_COST``. A pair whose tenant no other form can outweigh, by a
+bound over the frequencies of all forms, needs no other candidates; its posterior is given
+as 1.
 
 Candidates come from equi-joins: same letters, rarest words by a set-similarity join of
 letter pairs, truncations, initials. Each is scored by the channel. Nothing compares all
@@ -49,6 +52,10 @@ TENANT_WEIGHT = 10
 MIN_POSTERIOR = 0.5
 #: Cost of taking a typed spelling that no tenant confirms for a form of its own.
 NOVEL_COST = 3.0
+#: Cost of a form that is not the tenant of the row's URL.
+OTHER_TENANT_COST = 14.0
+#: Least cost of a spelling, and weight of the share of a spelling's rows that a tenant has.
+SAME_COST, VOTE_WEIGHT = 0.1, 20.0
 #: Most typos of a name written as one word.
 MOST_EDITS = 3
 
@@ -161,7 +168,7 @@ def channel_cost(seen: tuple[str, ...], true: tuple[str, ...]) -> float:
     """Negative log likelihood of the typed words given the canonical ones."""
     a, b = "".join(seen), "".join(true)
     if a == b:
-        return 0.1
+        return SAME_COST
     best = 14.0
     if len(seen) <= 2:
         most = MOST_EDITS if len(b) > 12 else 2
@@ -197,8 +204,8 @@ def _attach(words: list[str], tenant_key: str | None, votes: dict[str, float], c
         key, true = c["key"], tuple(c["words"])
         loglike = -channel_cost(seen, true) if seen else 0.0
         if tenant_key is not None:
-            loglike += 0.0 if tenant_key == key else -14.0
-        loglike += math.log1p(20.0 * votes.get(key, 0.0))
+            loglike += 0.0 if tenant_key == key else -OTHER_TENANT_COST
+        loglike += math.log1p(VOTE_WEIGHT * votes.get(key, 0.0))
         scored[key] = max(scored.get(key, -math.inf), math.log(c["freq"] + 0.5) + loglike - (0.0 if c["known"] else NOVEL_COST))
     top = max(scored.values())
     total = sum(math.exp(v - top) for v in scored.values())
@@ -218,6 +225,16 @@ def _attribute(words: pd.Series, tenants: pd.Series, candidates: pd.Series) -> p
     return pd.DataFrame(out, columns=["key", "posterior"])
 
 
+@F.pandas_udf(T.BooleanType())
+def _open(words: pd.Series, own: pd.Series, freq: pd.Series, weight: pd.Series) -> pd.Series:
+    """Whether all other forms together (``weight``: sum of their priors) could outweigh the tenant, were each spelled alike and with every vote."""
+    out = []
+    for w, t, f, total in zip(words, own, freq, weight, strict=True):
+        rivals = math.log(total) + math.log1p(VOTE_WEIGHT) - SAME_COST - OTHER_TENANT_COST
+        out.append(len(w) > 0 and math.log(f + 0.5) - channel_cost(tuple(w), tuple(t)) < rivals)
+    return pd.Series(out, dtype=bool)
+
+
 def attribute(spellings: DataFrame) -> DataFrame:
     """Attach each distinct (name, tenant) to its canonical form.
 
@@ -243,9 +260,15 @@ def attribute(spellings: DataFrame) -> DataFrame:
     votes = durable(both.join(share, "squash").select("squash", F.col("tenant").alias("key"), (F.col("n") / F.col("total")).alias("vote")))
 
     zero = F.lit(0.0).alias("vote")
-    by_tenant = pairs.filter("tenant is not null").select("name", "tenant", F.col("tenant").alias("key"), zero)
+    weight = forms.agg(F.sum(F.col("freq") + 0.5)).first()[0] or 1.0
+    owned = pairs.filter("tenant is not null").join(forms.select(F.col("key").alias("tenant"), F.col("words").alias("own"), "freq"), "tenant")
+    owned = owned.withColumn("open", _open("words", "own", "freq", F.lit(weight)))
+    alone = F.array(F.struct(F.col("tenant").alias("key"), F.col("own").alias("words"), "freq", zero, F.lit(True).alias("known")))
+    owned = durable(owned.select("name", "tenant", "words", "squash", "open", alone.alias("candidates")))
+    free = pairs.filter("tenant is null and squash is not null").select("name", "tenant", "words", "squash", F.lit(None).cast(owned.schema["candidates"].dataType).alias("more"))
+    free = free.unionByName(owned.filter("open").select("name", "tenant", "words", "squash", F.col("candidates").alias("more")))
     # From here on a loose spelling is its integer ``lid``, so long names are not copied per word.
-    loose = pairs.filter("tenant is null and squash is not null").groupBy("squash").agg(F.max("words").alias("words"))
+    loose = free.groupBy("squash").agg(F.max("words").alias("words"))
     loose = durable(loose.withColumn("lid", F.monotonically_increasing_id()))
     same = loose.select("lid", F.col("squash").alias("key"), zero)
     voted = votes.join(loose.select("lid", "squash"), "squash").select("lid", "key", "vote")
@@ -277,11 +300,9 @@ def attribute(spellings: DataFrame) -> DataFrame:
     found = found.groupBy("lid", "key").agg(F.max("vote").alias("vote")).join(forms.select("key", F.col("words").alias("true"), "freq", "known"), "key")
     per_loose = found.groupBy("lid").agg(F.collect_list(F.struct("key", F.col("true").alias("words"), "freq", "vote", "known")).alias("candidates"))
     per_loose = loose.select("lid", "squash").join(per_loose, "lid").drop("lid")
-    without = pairs.filter("tenant is null").select("name", "tenant", "words", "squash").join(per_loose, "squash", "left").drop("squash")
-    per_tenant = by_tenant.join(forms.select("key", F.col("words").alias("true"), "freq", "known"), "key").groupBy("name", "tenant").agg(F.collect_list(F.struct("key", F.col("true").alias("words"), "freq", "vote", "known")).alias("candidates"))
-    with_tenant = pairs.filter("tenant is not null").select(F.coalesce("name", F.lit("\u0000")).alias("name"), "tenant", "words")
-    with_tenant = with_tenant.join(per_tenant.withColumn("name", F.coalesce("name", F.lit("\u0000"))), ["name", "tenant"]).withColumn("name", F.nullif("name", F.lit("\u0000")))
-    every = with_tenant.select("name", "tenant", "words", "candidates").unionByName(without.select("name", "tenant", "words", "candidates"))
+    none = F.array().cast(owned.schema["candidates"].dataType)
+    without = free.join(per_loose, "squash", "left").withColumn("candidates", F.concat(F.coalesce("candidates", none), F.coalesce("more", none)))
+    every = owned.filter("not open").select("name", "tenant", "words", "candidates").unionByName(without.select("name", "tenant", "words", "candidates"))
     return durable(every.withColumn("a", _attribute("words", "tenant", "candidates")).select("name", "tenant", F.col("a.key").alias("org"), "a.posterior"))
 
 

@@ -238,6 +238,13 @@ def test_attribution(spark):
     assert names.attribute(spark.createDataFrame([], "name string, tenant string, n long")).count() == 0
 
 
+def test_a_tenant_is_one_observation_among_others(spark):
+    seen = [("Korangast Mobility", "korangastmobility", 20), ("Korangast Mobility", "jobs", 1), ("K.M.", "korangastmobility", 1), (None, "jobs", 1), ("Korangast Mobilty", None, 1)]
+    got = {(r["name"], r["tenant"]): (r["org"], r["posterior"]) for r in names.attribute(spark.createDataFrame(seen, "name string, tenant string, n long")).collect()}
+    assert got[("Korangast Mobility", "jobs")][0] == "korangastmobility" and 0.9 < got[("Korangast Mobility", "jobs")][1] < 1
+    assert {k: v[0] for k, v in got.items() if k[0] != "Korangast Mobility"} == {("K.M.", "korangastmobility"): "korangastmobility", (None, "jobs"): "jobs", ("Korangast Mobilty", None): "korangastmobility"}
+
+
 @pytest.mark.parametrize(
     ("job", "url", "req", "tenant"),
     [("REQ_010003579", None, "10003579", None), ("#10010103", None, "10010103", None), (None, "https://www.careers.acme.example/openings/10009701?lang=fr", "10009701", "acme"), (None, "https://boards.h.example/acme-2?gh_jid=10015223&gh_src=460678", "10015223", "acme"),
