@@ -12,8 +12,10 @@ bound over the frequencies of all forms, needs no other candidates; its posterio
 as 1.
 
 Candidates come from equi-joins: same letters, rarest words by a set-similarity join of
-letter pairs, truncations, initials. Each is scored by the channel. Nothing compares all
-pairs, and hot spellings cost one row because only distinct pairs are handled.
+letter pairs, truncations, initials. Each is scored by the channel. Hot spellings cost one
+row because only distinct pairs are handled. The joins are tighter than the channel, so
+the few spellings they leave without a form of a tenant that keeps their first word
+(``FIRST_LOST``) are scored by the channel against every such form.
 
 Defined results: null and blank names without a tenant stay without an organisation; a
 name nobody else spells is its own canonical form; ties go to the more frequent, then the
@@ -56,6 +58,8 @@ NOVEL_COST = 3.0
 OTHER_TENANT_COST = 14.0
 #: Least cost of a spelling, and weight of the share of a spelling's rows that a tenant has.
 SAME_COST, VOTE_WEIGHT = 0.1, 20.0
+#: Cost of a name without its first word. Forms that share only later, common words are reached by the joins alone.
+FIRST_LOST = 8.0
 #: Most typos of a name written as one word.
 MOST_EDITS = 3
 
@@ -131,7 +135,8 @@ def requisition(job_id: Column, url: Column) -> Column:
 
 def _edits(a: str, b: str, most: int) -> int:
     """Edits with swaps of neighbours; ``most + 1`` if more."""
-    if abs(len(a) - len(b)) > most:
+    # An edit changes the set of letters by two at most.
+    if abs(len(a) - len(b)) > most or len(set(a) ^ set(b)) > 2 * most:
         return most + 1
     before, row = None, list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -148,6 +153,7 @@ def _edits(a: str, b: str, most: int) -> int:
     return row[-1]
 
 
+@lru_cache(maxsize=262144)
 def _word_cost(seen: str, true: str) -> float:
     """Cost of writing ``true`` as ``seen``; infinite if they have nothing in common."""
     if seen == true:
@@ -189,7 +195,7 @@ def channel_cost(seen: tuple[str, ...], true: tuple[str, ...]) -> float:
             order.append(k)
             left[k] = ""
         else:
-            cost += 8.0 if i == 0 else 2.5
+            cost += FIRST_LOST if i == 0 else 2.5
     cost += 5.0 * sum(1 for w in left if w) + (0.3 if order != sorted(order) else 0.0)
     return min(best, cost) if order else best
 
@@ -225,6 +231,17 @@ def _attribute(words: pd.Series, tenants: pd.Series, candidates: pd.Series) -> p
     return pd.DataFrame(out, columns=["key", "posterior"])
 
 
+@F.pandas_udf(T.DoubleType())
+def _cost(words: pd.Series, true: pd.Series) -> pd.Series:
+    return pd.Series([channel_cost(tuple(w), tuple(t)) for w, t in zip(words, true, strict=True)], dtype=float)
+
+
+@F.pandas_udf(T.BooleanType())
+def _unreached(words: pd.Series, candidates: pd.Series) -> pd.Series:
+    """Whether no candidate that a tenant writes keeps the first word."""
+    return pd.Series([not any(c["known"] and channel_cost(tuple(w), tuple(c["words"])) < FIRST_LOST for c in cs) for w, cs in zip(words, candidates, strict=True)], dtype=bool)
+
+
 @F.pandas_udf(T.BooleanType())
 def _open(words: pd.Series, own: pd.Series, freq: pd.Series, weight: pd.Series) -> pd.Series:
     """Whether all other forms together (``weight``: sum of their priors) could outweigh the tenant, were each spelled alike and with every vote."""
@@ -299,7 +316,11 @@ def attribute(spellings: DataFrame) -> DataFrame:
     found = same.unionByName(voted).unionByName(by_word).unionByName(by_letters).unionByName(by_cut).unionByName(by_initials)
     found = found.groupBy("lid", "key").agg(F.max("vote").alias("vote")).join(forms.select("key", F.col("words").alias("true"), "freq", "known"), "key")
     per_loose = found.groupBy("lid").agg(F.collect_list(F.struct("key", F.col("true").alias("words"), "freq", "vote", "known")).alias("candidates"))
-    per_loose = loose.select("lid", "squash").join(per_loose, "lid").drop("lid")
+    per_loose = durable(loose.join(per_loose, "lid").withColumn("unreached", _unreached("words", "candidates")))
+    # The exact way for the spellings the joins did not serve.
+    rest = per_loose.filter("unreached").select("lid", "words").crossJoin(known.select("key", F.col("words").alias("true"), "freq"))
+    rest = rest.filter(_cost("words", "true") < FIRST_LOST).groupBy("lid").agg(F.collect_list(F.struct("key", F.col("true").alias("words"), "freq", zero, F.lit(True).alias("known"))).alias("rest"))
+    per_loose = per_loose.join(rest, "lid", "left").select("squash", F.concat("candidates", F.coalesce("rest", F.array().cast(owned.schema["candidates"].dataType))).alias("candidates"))
     none = F.array().cast(owned.schema["candidates"].dataType)
     without = free.join(per_loose, "squash", "left").withColumn("candidates", F.concat(F.coalesce("candidates", none), F.coalesce("more", none)))
     every = owned.filter("not open").select("name", "tenant", "words", "candidates").unionByName(without.select("name", "tenant", "words", "candidates"))

@@ -238,6 +238,12 @@ def test_attribution(spark):
     assert names.attribute(spark.createDataFrame([], "name string, tenant string, n long")).count() == 0
 
 
+def test_spellings_beyond_the_candidate_joins(spark):
+    seen = [("Dorenbrick Security", "dorenbricksecurity", 30), ("Junolwick International", "junolwickinternational", 30), ("DROENBICK  SEC.", None, 1), ("Jnuoleick Intl", None, 1), ("Alone & Far", None, 3)]
+    got = {(r["name"], r["tenant"]): r["org"] for r in names.attribute(spark.createDataFrame(seen, "name string, tenant string, n long")).collect()}
+    assert got[("DROENBICK  SEC.", None)] == "dorenbricksecurity" and got[("Jnuoleick Intl", None)] == "junolwickinternational" and got[("Alone & Far", None)] == "alonefar"
+
+
 def test_a_tenant_is_one_observation_among_others(spark):
     seen = [("Korangast Mobility", "korangastmobility", 20), ("Korangast Mobility", "jobs", 1), ("K.M.", "korangastmobility", 1), (None, "jobs", 1), ("Korangast Mobilty", None, 1)]
     got = {(r["name"], r["tenant"]): (r["org"], r["posterior"]) for r in names.attribute(spark.createDataFrame(seen, "name string, tenant string, n long")).collect()}
