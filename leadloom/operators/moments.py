@@ -228,7 +228,7 @@ def normalise_moments(
     numeric = long.filter(F.col("raw").rlike(r"^\s*\d{1,2}[/.-]\d{1,2}[/.-]\d{4}"))
     numeric = numeric.withColumn("p", parse_moment(F.col("raw"))).select("source", "reference", "p.mdy", "p.dmy")
     orders = source_orders(numeric, feeds)
-    per_source = feeds.select("source", "time_zone").join(orders, "source", "full_outer")
+    per_source = feeds.select("source", "time_zone", "date_order").join(orders, "source", "full_outer")
     j = parsed.join(per_source, "source", "left")
     zone = F.coalesce(F.col("time_zone"), F.lit("UTC"))
 
@@ -248,7 +248,9 @@ def normalise_moments(
     def decide(x: Column) -> Column:
         posterior = let(weights(x), lambda w: F.when(x["mdy"].eqNullSafe(x["dmy"]), 1.0).otherwise(F.try_divide(w["m"], w["m"] + w["d"])))
         numeric_wall = let(posterior, lambda q: F.when(F.greatest(q, 1 - q) >= min_posterior, F.when(q >= 0.5, x["mdy"]).otherwise(x["dmy"])))
-        return F.coalesce(x["ymd"], numeric_wall)
+        # A declared order holds wherever its reading is valid, whatever the counts say.
+        declared = F.when(F.col("date_order") == "mdy", x["mdy"]).when(F.col("date_order") == "dmy", x["dmy"])
+        return F.coalesce(x["ymd"], declared, numeric_wall)
 
     wall = let(p, decide)
     moment = F.when(F.col("p.epoch").isNotNull(), F.col("p.epoch")).when(F.col("p.ok"), let(wall, lambda w: _to_utc(w, p, zone)))

@@ -43,6 +43,14 @@ def test_mixture_learns_an_undeclared_order(spark):
     assert run(spark, rows, [("us", "UTC", "mdy")])[99] == ("2024-04-03T00:00:00Z", False)
 
 
+def test_no_count_outweighs_a_declared_order(spark):
+    others = spark.range(300_000).selectExpr("id", "'de' import_source", "'13.01.2024' posted_at", "'2024-06-05 00:00:00' created_at")
+    one = spark.createDataFrame([(-1, "us", "03/01/2024", "2024-06-05 00:00:00")], others.schema)
+    feeds = spark.createDataFrame([("us", "America/New_York", "mdy"), ("de", "Europe/Berlin", "dmy")], FEEDS)
+    out = normalise_moments(others.unionByName(one), "id", ["posted_at"], "import_source", "created_at", feeds).filter("id = -1")
+    assert [(r["t"], r["ambiguous"]) for r in out.withColumn("t", utc_text(F.col("moment"))).collect()] == [("2024-03-01T05:00:00Z", False)]
+
+
 def test_even_mixture_is_marked_ambiguous(spark):
     assert run(spark, [(1, "x", "03/04/2024", None, None)], [("us", "UTC", "mdy")])[1] == (None, True)
 
