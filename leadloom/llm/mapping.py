@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leadloom.llm.common import close_spelling, fold_words, similar_words
-from leadloom.runtime import durable
+from leadloom.runtime import bounded_rows, durable
 
 #: US states, code and name.
 STATES = {
@@ -69,6 +69,8 @@ TITLE_NOISE = "team req all genders m w d f x full time part urgent permanent co
 
 _MATCH = T.ArrayType(T.IntegerType())
 MIN_JACCARD = 0.25
+#: Most remote entries, one per country; a longer list raises.
+MOST_REMOTE = 300
 
 
 def spelled(spark: SparkSession, words: DataFrame, lexicon: list[str] | DataFrame, exact_only: set[str] = frozenset()) -> DataFrame:
@@ -248,7 +250,7 @@ def map_locations(spark: SparkSession, values: DataFrame, places: DataFrame) ->
         for k in [name, *codes.split()]:
             phrases.setdefault(tuple(k.split()), []).append("country:" + name)
     longest = max(map(len, phrases))
-    remote = {(r["country"] or "").lower(): r["location_id"] for r in places.filter("city is null").limit(300).collect()}
+    remote = {(r["country"] or "").lower(): r["location_id"] for r in bounded_rows(places.filter("city is null"), MOST_REMOTE)}
     cities = places.filter("city is not null").select(F.col("location_id").alias("id"), fold_words(F.col("city")).alias("name"), "region", F.coalesce("country", F.lit("")).alias("country"))
     fixed = {w for k, v in CITY_ALIASES.items() for w in (k + " " + v).split()} | {w for k in phrases for w in k} | set(PLACE_NOISE.split())
     lexicon = cities.select(F.explode("name").alias("lexeme")).unionByName(spark.createDataFrame([(w,) for w in sorted(fixed)], "lexeme string"))

@@ -193,6 +193,12 @@ def test_locations(spark):
     assert {k[-30:]: got[k] for k in LOCATIONS} == {k[-30:]: v for k, v in LOCATIONS.items()}
 
 
+def test_a_long_list_of_remote_entries_raises(spark):
+    places = spark.range(301).selectExpr("cast(id as int) location_id", "concat('Remote, ', id) location_name", "cast(null as string) city", "cast(null as string) region", "cast(id as string) country")
+    with pytest.raises(ValueError, match="more than 300"):
+        mapping.map_locations(spark, spark.createDataFrame([("Remote",)], "value string"), places)
+
+
 def test_titles(spark):
     titles = spark.createDataFrame([(1, "Data Engineer"), (2, "Senior Data Engineer"), (3, "Business Intelligence Developer"), (4, "Junior Backend Engineer")], "title_id int, title_name string")
     want = {"Sr. Engineer, Data | Nobenupa Team": 2, "dtaa engnieer": 1, "BI Dev - Remote": 3, "Jr Back-end Eng (m/w/d)": 4, "Payroll Clerk": 0, "Senior Receptionist": 0}
