@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from leadloom.runtime import durable
+
 #: Share of the rows from which a key counts as hot; so there are at most ``1 / HOT`` hot keys.
 HOT = 1 / 500
 #: Slack of bounds computed in floating point, so that no pair on the threshold is lost.
@@ -116,3 +118,26 @@ def encode_fields(rows: DataFrame, fields: dict[str, str], dictionary: DataFrame
 def field_entry(field: int, value: Column) -> Column:
     """Key of a value in the dictionary of all fields."""
     return F.concat(F.lit(f"{field}:"), value)
+
+
+def components(links: DataFrame) -> DataFrame:
+    """node, root (least node of its component) for every node of ``links``: a, b.
+
+    Alternating large-star and small-star steps: each node's greater neighbours go to its
+    least neighbour, then its lesser ones do. The rounds grow with the logarithm of the
+    longest chain, each ends in a checkpoint, and the loop ends when nothing changes.
+    Nodes without a partner are left out.
+    """
+    pairs = durable(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    before = None
+    while True:
+        state = tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if state == before or not state[0]:
+            return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        before = state
+        both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        pairs = durable(small.filter("u <> v").distinct())

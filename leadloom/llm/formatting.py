@@ -1,17 +1,25 @@
 """Duplicates hidden by formatting differences.
 
-Columns are dictionary-encoded: each distinct value is canonicalised once and gets the
-integer of its class; records become tuples of those integers, and the compact tuples
-are grouped. Two values are of one class if they are equal after dropping case, white
-space, punctuation and compatibility forms (key ``a``), or after also ordering their
-words (key ``b``), and transitively; a class is a component of the graph whose edges
-are the values and whose nodes are the two kinds of keys. For a URL the parameters are
-ordered and the rest keeps its order, which needs no components.
+Columns are dictionary-encoded: each distinct value is canonicalised once into integers, the
+hashes of its letters (``a``), of its words in order of the alphabet (``b``) and of its pieces
+between punctuation in that order (``c``), all without case, white space, punctuation and
+compatibility forms. Two values are equal if they share one of them. A value whose integers
+come in no other set keeps one only. For a URL the parameters are ordered and the rest keeps
+its order; a fragment follows the path as if no sign stood between them.
+
+Records become tuples of those integers; equal tuples are grouped first, with partial
+results. Tuples that share one integer in every field belong together: such a shared
+combination links tuples to the least one, and the classes are the components of these
+links (:func:`leadloom.llm.common.components`). So values of other records can't join two
+records, and only tuples that hold a value with several integers take part.
+
+Integers are 64-bit hashes: two different keys would have to collide in records that agree
+in all other fields.
 
 Defined results: null equals null and nothing else; rows with a null URL form no group;
 blank and punctuation-only values equal each other; equal rows are copies; ties go to
-the least id; very long texts are only hashed by Spark's own shuffles; an empty table
-gives empty results. Extra columns are not read.
+the least id; very long texts are canonicalised whole and then only their integers are
+kept; an empty table gives empty results. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -20,109 +28,106 @@ import unicodedata
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leadloom.llm.common import encode_join
+from leadloom.llm.common import components, encode_join
 from leadloom.runtime import durable
 
 _NULL = "\u0000null"
-_KEYS = T.StructType([T.StructField("a", T.StringType()), T.StructField("b", T.StringType())])
+_KEYS = T.StructType([T.StructField(k, T.StringType()) for k in "abc"])
+
+
+def _plain(text: str) -> str:
+    return text.lower() if text.isascii() else unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text).casefold())
 
 
 @lru_cache(maxsize=65536)
 def _letters(text: str) -> str:
     """Compatibility form without case, white space, punctuation and symbols of the keyboard."""
-    s = text.lower() if text.isascii() else unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text).casefold())
-    return "".join(c if c.isalnum() else "" if _drop(c) else c for c in s)
+    return "".join(c for c in _plain(text) if c.isalnum() or not _drop(c))
 
 
 @lru_cache(maxsize=4096)
-def _drop(c: str) -> bool:
-    return unicodedata.category(c)[0] in "ZPC" or c in "+<=>|~^`$"
+def _drop(c: str) -> str:
+    """``" "`` for white space and invisible characters, ``","`` for punctuation and symbols of the keyboard, else empty."""
+    kind = unicodedata.category(c)[0]
+    return " " if kind in "ZC" else "," if kind == "P" or c in "+<=>|~^`$" else ""
 
 
 @lru_cache(maxsize=65536)
-def text_keys(text: str) -> tuple[str, str]:
-    s = text.lower() if text.isascii() else unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text).casefold())
-    words = "".join(c if c.isalnum() or not _drop(c) else " " for c in s).split()
-    return "".join(words), " ".join(sorted(words))
+def text_keys(text: str) -> tuple[str, str, str]:
+    """Letters; words in order of the alphabet; pieces between punctuation in order of the alphabet."""
+    s = "".join(c if c.isalnum() else _drop(c) or c for c in _plain(text))
+    words = s.replace(",", " ").split()
+    pieces = ["".join(x.split()) for x in s.split(",")]
+    return "".join(words), " ".join(sorted(words)), ",".join(sorted(x for x in pieces if x))
 
 
 def url_key(url: str) -> str:
     s = url if url.isascii() else unicodedata.normalize("NFKC", url)
     s, _, fragment = s.partition("#")
     path, _, query = s.partition("?")
-    return "\u0001".join([_letters(path), "\u0002".join(sorted(_letters(p) for p in query.split("&") if _letters(p))), _letters(fragment)])
+    params = "\u0002".join(sorted(x for x in map(_letters, query.split("&")) if x))
+    return _letters(path) + (f"\u0001{params}\u0001" if params else "") + _letters(fragment)
 
 
 @F.pandas_udf(_KEYS)
-def _text_keys(values: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([(_NULL, _NULL) if v is None or v == _NULL else text_keys(v) for v in values], columns=["a", "b"])
+def _keys(urls: pd.Series, values: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([(_NULL,) * 3 if v == _NULL else (url_key(v),) * 3 if u else text_keys(v) for u, v in zip(urls, values, strict=True)], columns=list("abc"))
 
 
-@F.pandas_udf(_KEYS)
-def _url_keys(values: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([(k, k) for k in (url_key(v) for v in values)], columns=["a", "b"])
-
-
-def key_classes(keys: DataFrame, max_rounds: int = 30) -> DataFrame:
-    """Components of the graph with an edge a-b per row: a, label (least ``a`` of the component).
-
-    Only keys that meet several partners can be in a component of more than one
-    edge; the others are finished at once. The rest takes the least label of its
-    neighbours until nothing changes.
-    """
-    edges = keys.select("a", "b").distinct()
-    degree_a = edges.groupBy("a").agg(F.count("*").alias("da"))
-    degree_b = edges.groupBy("b").agg(F.count("*").alias("db"))
-    edges = durable(edges.join(degree_a, "a").join(degree_b, "b"))
-    done = edges.filter("da = 1 and db = 1").select("a", F.col("a").alias("label"))
-    graph = durable(edges.filter("da > 1 or db > 1").select("a", "b", F.col("a").alias("label")))
-    for _ in range(max_rounds):
-        by_b = graph.groupBy("b").agg(F.min("label").alias("label"))
-        by_a = graph.select("a", "b").join(by_b, "b").groupBy("a").agg(F.min("label").alias("label"))
-        after = durable(graph.select("a", "b", F.col("label").alias("old")).join(by_a, "a"))
-        changed = after.filter("label <> old").limit(1).count()
-        graph = after.drop("old")
-        if not changed:
-            break
-    else:
-        raise RuntimeError("the classes of keys did not settle")
-    return done.unionByName(graph.groupBy("a").agg(F.min("label").alias("label")))
-
-
-def value_dictionary(rows: DataFrame, column: str, url: bool = False) -> DataFrame:
-    """value, n (rows that hold it), code (integer of its class), for one column."""
-    values = rows.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    keyed = values.withColumn("k", (_url_keys if url else _text_keys)("value")).select("value", "n", "k.a", "k.b")
-    if url:
-        classed = keyed.withColumn("label", F.col("a"))
-    else:
-        keyed = durable(keyed)
-        classed = keyed.join(key_classes(keyed), "a")
-    codes = durable(classed.groupBy("label").agg(F.lit(1).alias("_")).select("label", F.monotonically_increasing_id().alias("code")))
-    return durable(classed.join(codes, "label").select("value", "n", "code"))
+def value_dictionary(long: DataFrame, url_field: int) -> DataFrame:
+    """entry, n (rows that hold it), codes (its integers), open (whether another value shares some of them only). ``long``: f, entry, value."""
+    values = long.groupBy("f", "entry", "value").agg(F.count("*").alias("n"))
+    k = _keys(F.col("f") == url_field, F.col("value")).alias("k")
+    integers = F.array_sort(F.array_distinct(F.array(*[F.xxhash64("f", f"k.{x}") for x in "abc"])))
+    keyed = durable(values.select("f", "entry", "n", k).select("entry", "n", integers.alias("codes")))
+    # A value needs one integer only if none of its integers comes in another set.
+    each = keyed.select("entry", F.xxhash64("codes").alias("whole"), F.explode("codes").alias("code"))
+    mixed = each.groupBy("code").agg(F.min("whole").alias("lo"), F.max("whole").alias("hi")).filter("lo <> hi").select("code")
+    several = each.join(mixed, "code", "left_semi").select("entry").distinct().withColumn("open", F.lit(True))
+    out = keyed.join(several, "entry", "left").withColumn("open", F.col("open").isNotNull())
+    return durable(out.withColumn("codes", F.when(F.col("open"), F.col("codes")).otherwise(F.slice("codes", 1, 1))))
 
 
 def encoded_records(df: DataFrame, id_col: str, text_cols: list[str], url_col: str) -> DataFrame:
-    """id and the sorted tuple of (field, code) integers of each row with a URL."""
+    """id, the tuple of its fields' integers (an array per field) and whether one of its values is open, of each row with a URL."""
     columns = [*text_cols, url_col]
-    rows = df.filter(F.col(url_col).isNotNull()).select(F.col(id_col).alias("id"), *[F.coalesce(F.col(c), F.lit(_NULL)).alias(f"v{i}") for i, c in enumerate(columns)])
-    total = rows.count()
-    for i, _ in enumerate(columns):
-        d = value_dictionary(rows, f"v{i}", url=i == len(columns) - 1).withColumnRenamed("value", f"v{i}")
-        rows = encode_join(rows, f"v{i}", d.select(f"v{i}", "n", F.col("code").alias(f"c{i}")), "n", total).drop(f"v{i}")
-    codes = F.array_sort(F.array(*[F.col(f"c{i}") * len(columns) + i for i in range(len(columns))]))
-    return rows.select("id", codes.alias("record"))
+    rows = df.filter(F.col(url_col).isNotNull())
+    fields = F.array(*[F.struct(F.lit(i).alias("f"), F.coalesce(F.col(c), F.lit(_NULL)).alias("value")) for i, c in enumerate(columns)])
+    long = rows.select(F.col(id_col).alias("id"), F.explode(fields).alias("x")).select("id", "x.f", "x.value", F.concat(F.col("x.f").cast("string"), F.lit(":"), F.col("x.value")).alias("entry"))
+    total = rows.count() * len(columns)
+    coded = encode_join(long.select("id", "f", "entry"), "entry", value_dictionary(long, len(columns) - 1), "n", total)
+    return coded.groupBy("id").agg(F.array(*[F.max(F.when(F.col("f") == i, F.col("codes"))) for i in range(len(columns))]).alias("record"), F.max("open").alias("open"))
+
+
+def _combinations(record: Column, n: int) -> Column:
+    """Every choice of one integer per field."""
+
+    def longer(heads: Column, codes: Column) -> Column:
+        return F.flatten(F.transform(heads, lambda head: F.transform(codes, lambda x: F.concat(head, F.array(x)))))
+
+    out = F.transform(F.get(record, F.lit(0)), lambda x: F.array(x))
+    for i in range(1, n):
+        out = longer(out, F.get(record, F.lit(i)))
+    return out
 
 
 def collapse(df: DataFrame, id_col: str, text_cols: list[str], url_col: str) -> tuple[DataFrame, DataFrame]:
     """``groups``: first_id, copies. ``members``: first_id, id of every row that is not the first."""
-    records = durable(encoded_records(df, id_col, text_cols, url_col))
-    groups = records.groupBy("record").agg(F.min("id").alias("first_id"), F.count("*").alias("copies"))
-    several = groups.filter("copies > 1")
-    key = F.array_join("record", ",").alias("key")
-    members = encode_join(records.select("id", key), "key", several.select(key, F.col("copies").alias("n"), "first_id"), "n", records.count())
-    return groups.select("first_id", "copies"), members.filter("first_id is not null and id <> first_id").select("first_id", "id")
+    n = len(text_cols) + 1
+    text = F.array_join(F.transform("record", lambda x: F.array_join(x, ",")), ";").alias("key")
+    records = durable(encoded_records(df, id_col, text_cols, url_col).select("id", "record", "open", text))
+    tuples = durable(records.groupBy("key", "record").agg(F.min("id").alias("first_id"), F.count("*").alias("copies"), F.max("open").alias("open")))
+    choices = tuples.filter("open").select("first_id", F.explode(_combinations(F.col("record"), n)).alias("choice"))
+    choices = durable(choices.select("first_id", F.array_join("choice", ",").alias("choice")))
+    shared = choices.groupBy("choice").agg(F.min("first_id").alias("least"), F.count("*").alias("n")).filter("n > 1")
+    links = choices.join(shared, "choice").select(F.col("first_id").alias("a"), F.col("least").alias("b"))
+    roots = components(links).select(F.col("node").alias("first_id"), "root")
+    rooted = durable(tuples.join(roots, "first_id", "left").select("key", "first_id", "copies", F.coalesce("root", "first_id").alias("root")))
+    groups = rooted.groupBy(F.col("root").alias("first_id")).agg(F.sum("copies").alias("copies"))
+    several = rooted.filter("copies > 1 or root <> first_id").select("key", F.col("copies").alias("n"), F.col("root").alias("first_id"))
+    members = encode_join(records.select("id", "key"), "key", several, "n", records.count())
+    return groups, members.filter("first_id is not null and id <> first_id").select("first_id", "id")

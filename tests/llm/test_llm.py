@@ -96,21 +96,54 @@ def test_formatting_classes(spark):
     assert groups.count() == members.count() == 0
 
 
-def test_key_classes_against_union_find(spark):
+def test_formatting_links_need_rows_not_columns(spark):
+    """An unrelated row never joins two others; a chain of rows does."""
+    r = [(1, "c", "ab c", "l", "u"), (2, "c", "bc a", "l", "u"), (3, "c", "a bc", "l", "other"), (4, "c", "San Francisco, CA", "l", "w"), (5, "c", "CA / SanFrancisco", "l", "w"),
+         (8, "c", "ab c", "l", "v"), (9, "c", "a bc", "l", "v"), (10, "c", "bc a", "l", "v"), (11, "c", "t", "l", "x/apply"), (12, "c", "t", "l", "x#apply")]
+    groups, members = formatting.collapse(spark.createDataFrame(r, FIELDS.removesuffix(", value string")), "id", ["company", "title", "location"], "apply_url")
+    assert rows(members) == [(11, 12), (4, 5), (8, 10), (8, 9)]
+    assert dict(rows(groups)) == {1: 1, 2: 1, 3: 1, 4: 2, 8: 3, 11: 2}
+
+
+def test_formatting_against_union_find_over_row_pairs(spark):
+    rng = random.Random(4)
+
+    def value():
+        words = rng.sample(["ab", "c", "a", "bc"], rng.randint(1, 3))
+        return rng.choice([" ", "", ", ", "-"]).join(w.upper() if rng.random() < 0.3 else w for w in words)
+
+    r = [(i, value(), value(), value(), rng.choice(["u", "v", None])) for i in range(300)]
+    parent = {x[0]: x[0] for x in r}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    keys = {x[0]: [set(formatting.text_keys(v)) | {formatting.text_keys(v)[1] + "|b"} for v in x[1:4]] for x in r}
+    for x, y in itertools.combinations([x for x in r if x[4]], 2):
+        if x[4] == y[4] and all(p & q for p, q in zip(keys[x[0]], keys[y[0]], strict=True)):
+            parent[max(root(x[0]), root(y[0]))] = min(root(x[0]), root(y[0]))
+    _, members = formatting.collapse(spark.createDataFrame(r, FIELDS.removesuffix(", value string")), "id", ["company", "title", "location"], "apply_url")
+    assert rows(members) == sorted(((root(i), i) for i in parent if root(i) != i), key=str)
+
+
+def test_components_against_union_find(spark):
     rng = random.Random(5)
-    edges = {(f"a{rng.randint(0, 40)}", f"b{rng.randint(0, 40)}") for _ in range(45)}
-    parent = {x: x for e in edges for x in e}
+    links = {(rng.randint(0, 80), rng.randint(0, 80)) for _ in range(60)} | {(i, i + 1) for i in range(1000, 1100)} | {(2000, i) for i in range(2001, 2100)}
+    parent = {x: x for e in links for x in e}
 
     def root(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    for a, b in edges:
-        parent[root(a)] = root(b)
-    got = dict(rows(formatting.key_classes(spark.createDataFrame(sorted(edges), "a string, b string"))))
-    for x, y in itertools.combinations(got, 2):
-        assert (got[x] == got[y]) == (root(x) == root(y))
+    for a, b in links:
+        x, y = root(a), root(b)
+        parent[max(x, y)] = min(x, y)
+    got = dict(rows(common.components(spark.createDataFrame(sorted(links), "a long, b long"))))
+    assert got == {x: root(x) for e in links for x in e if e[0] != e[1]}
+    assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 def test_p7_members_share_canonical_text(spark, sf):
