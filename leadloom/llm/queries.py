@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from leadloom.llm import formatting, history, language, mapping, names, packing, tokens
 from leadloom.llm.common import encode_fields, encode_join, field_entry
-from leadloom.llm.survivors import Field, survivors
+from leadloom.llm.survivors import STEP, Field, survivors
 from leadloom.operators.moments import normalise_moments, utc_text
 from leadloom.operators.quantities import stated_pay
 from leadloom.runtime import bounded_rows, broadcast_if_small, durable, release, table
@@ -20,39 +20,42 @@ TOKENIZER = "byte_bpe_50k.json"
 
 
 def _openings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows with a canonical URL, with found_at as a moment and the stated pay."""
+    """Rows with a canonical URL, with found_at as a moment, the stated pay and the trust in the source."""
     jobs = table(spark, sf_dir, "jobs").filter(F.col("canonical_apply_url").isNotNull())
     found = normalise_moments(jobs, "id", ["found_at"], "import_source", "created_at", table(spark, sf_dir, "import_feeds")).select("id", "moment")
-    return jobs.select("id", "canonical_apply_url", "status", "salary_text", "source", stated_pay(F.col("salary_text")).isNotNull().alias("pay")).join(found, "id")
-
-
-def _fields() -> list[Field]:
-    at = F.unix_micros(F.col("moment").cast("timestamp")) / F.lit(1e6)
-    status = F.lower(F.regexp_replace("status", r"^[\s ]+|[\s ]+$", ""))
-    places = F.create_map(*[F.lit(x) for i, s in enumerate(STATUS_ORDER) for x in (s, len(STATUS_ORDER) - i)])
+    trust = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in SOURCE_TRUST.items() for x in kv]), F.col("source")), F.lit(0.3))
+    rows = jobs.select("id", "canonical_apply_url", "status", "salary_text", trust.alias("trust"), stated_pay(F.col("salary_text")).isNotNull().alias("pay"))
+    return rows.join(found, "id")
+
+
+def _fields(ordered: bool) -> list[Field]:
+    """The three fields; ``ordered``: the stated order of statuses, and the later moment, as priors in steps no votes outweigh."""
+    micros = F.unix_micros(F.col("moment").cast("timestamp"))
+    at = micros / F.lit(1e6)
+    status = F.lower(F.regexp_replace("status", r"^[\s\u00a0]+|[\s\u00a0]+$", ""))
+    places = F.create_map(*[F.lit(x) for i, s in enumerate(STATUS_ORDER) for x in (s, STEP * (len(STATUS_ORDER) - i))])
+    later = micros.cast("decimal(20,0)") * STEP
     return [
-        Field("status", status, F.try_element_at(places, status), at),
-        Field("found_at", utc_text(F.col("moment")), at, at),
-        Field("salary_text", F.when(F.col("pay"), F.col("salary_text")), at, at),
+        Field("status", status, F.coalesce(F.try_element_at(places, status), F.lit(0)) if ordered else None, at),
+        Field("found_at", F.col("moment").cast("string") if ordered else utc_text(F.col("moment")), later if ordered else None, at),
+        Field("salary_text", F.when(F.col("pay"), F.col("salary_text")), later if ordered else None, at),
     ]
 
 
+def _survivors(spark: SparkSession, sf_dir: str, ordered: bool) -> DataFrame:
+    return survivors(_openings(spark, sf_dir), "canonical_apply_url", "id", _fields(ordered), F.col("trust"), F.col("moment"))
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = survivors(_openings(spark, sf_dir), "canonical_apply_url", "id", _fields())
+    s = _survivors(spark, sf_dir, True)
     return s.select(
         "canonical_apply_url", F.col("status_id").alias("status_job_id"), F.col("found_at_id").alias("found_job_id"), F.coalesce("salary_text_id", F.lit(0)).cast("long").alias("salary_job_id")
     )
 
 
 def p1_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One built record per opening by votes alone: source trust times a half-life of 90 days before the newest row of the table."""
-    rows = _openings(spark, sf_dir)
-    newest = rows.agg(F.max("moment").alias("newest"))
-    rows = rows.join(F.broadcast(newest))
-    trust = F.try_element_at(F.create_map(*[F.lit(x) for kv in SOURCE_TRUST.items() for x in kv]), F.col("source"))
-    fields = [Field(f.name, f.value, None, f.recency) for f in _fields()]
-    age = F.datediff("newest", "moment").cast("double")
-    return survivors(rows, "canonical_apply_url", "id", fields, F.coalesce(trust, F.lit(0.3)), age)
+    """One built record per opening by votes alone: source trust times a half-life of 90 days."""
+    return _survivors(spark, sf_dir, False)
 
 
 def _organisations(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from leadloom.llm import common, formatting, history, language, mapping, names, packing, queries, tokens
-from leadloom.llm.survivors import Field, survivors
+from leadloom.llm.survivors import STEP, Field, survivors
 
 LONG = "word " * 40000
 
@@ -49,13 +49,42 @@ def test_encode_join_with_a_hot_key(spark):
 
 
 def test_survivors(spark):
-    df = spark.createDataFrame([("u", 1, "new", 1.0, 0.0, "r"), ("u", 2, "old", 0.5, 0.0, "r"), ("u", 3, "old", 0.6, 0.0, None), ("v", 4, "x", 1.0, 0.0, None), (None, 5, "x", 1.0, 0.0, None), ("w", 6, None, 1.0, 0.0, None), ("w", 7, None, 1.0, 0.0, None)],
-                               "g string, id long, s string, trust double, age double, value string")
-    got = {r["g"]: r for r in survivors(df, "g", "id", [Field("s", F.col("s")), Field("value", F.col("value"))], F.col("trust"), F.col("age")).collect()}
+    df = spark.createDataFrame([("u", 1, "new", 1.0, "2025-01-01", "r"), ("u", 2, "old", 0.5, "2025-01-01", "r"), ("u", 3, "old", 0.6, "2025-01-01", None), ("v", 4, "x", 1.0, None, None), (None, 5, "x", 1.0, None, None), ("w", 6, None, None, None, None), ("w", 7, None, 1.0, None, None)],
+                               "g string, id long, s string, trust double, at string, value string").withColumn("at", F.to_timestamp_ntz("at"))
+    fields = [Field("s", F.col("s")), Field("value", F.col("value"))]
+    got = {r["g"]: r for r in survivors(df, "g", "id", fields, F.col("trust"), F.col("at")).collect()}
     assert set(got) == {"u", "w"} and got["u"]["s"] == "old" and got["u"]["s_id"] == 2 and got["u"]["value_id"] == 1 and got["w"]["s"] is None and got["w"]["s_id"] is None
-    old = df.withColumn("age", F.when(F.col("s") == "old", 900.0).otherwise(0.0))
-    assert survivors(old, "g", "id", [Field("s", F.col("s"))], F.col("trust"), F.col("age")).filter("g = 'u'").first()["s"] == "new"
-    assert survivors(df.limit(0), "g", "id", [Field("s", F.col("s"))]).count() == 0
+    old = df.withColumn("at", F.when(F.col("s") == "old", F.to_timestamp_ntz(F.lit("2022-06-01"))).otherwise(F.col("at")))
+    assert survivors(old, "g", "id", fields[:1], F.col("trust"), F.col("at")).filter("g = 'u'").first()["s"] == "new"
+    prior = [Field("s", F.col("s"), F.when(F.col("s") == "old", STEP).otherwise(0))]
+    assert survivors(old, "g", "id", prior, F.col("trust"), F.col("at")).filter("g = 'u'").first()["s"] == "old"
+    assert survivors(df.limit(0), "g", "id", fields).count() == 0
+
+
+def test_priors_outweigh_any_votes(spark):
+    """One vote a century old for the better value against 100,000 new ones."""
+    df = spark.range(100_000).selectExpr("'g' g", "id + 1 as id", "'many' s", "timestamp_ntz'2090-01-01 00:00:00' at").unionByName(spark.sql("select 'g' g, 0L id, 'one' s, timestamp_ntz'1930-01-01 00:00:00' at"))
+    better = [Field("s", F.col("s"), F.when(F.col("s") == "one", STEP).otherwise(0))]
+    assert survivors(df, "g", "id", better, F.lit(1.0), F.col("at")).first()["s"] == "one"
+    assert survivors(df, "g", "id", [Field("s", F.col("s"))], F.lit(1.0), F.col("at")).first()["s"] == "many"
+
+
+def test_p1_survivors_against_plain_python(spark, sf):
+    """Winners by votes alone, summed in plain Python from the rows."""
+    import math
+
+    opened = queries._openings(spark, sf).collect()
+    epoch = __import__("datetime").datetime(2025, 1, 1)
+    groups = collections.defaultdict(list)
+    for r in opened:
+        groups[r["canonical_apply_url"]].append(r)
+    got = {r["canonical_apply_url"]: r for r in queries.p1_survivors(spark, sf).collect()}
+    assert got.keys() == {k for k, v in groups.items() if len(v) > 1}
+    for k in got:
+        votes = collections.defaultdict(float)
+        for r in groups[k]:
+            votes[r["status"].strip().lower()] += r["trust"] * 2.0 ** (math.floor((r["moment"] - epoch).total_seconds()) / 86400 / 90)
+        assert votes[got[k]["status"]] >= max(votes.values()) * (1 - 1e-5)
 
 
 def test_p1_against_plain_python(spark, sf):
