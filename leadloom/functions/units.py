@@ -2,19 +2,24 @@
 
 A unit is an exponent vector over base dimensions with a scale and an offset to the
 canonical unit of that vector, so ``km/h``, ``kg*m/s^2`` or ``USD/hour`` are built
-from their parts by adding vectors and multiplying scales. Money is scaled later by a
-rate table, because its rates are data.
+from their parts by adding and subtracting vectors and multiplying scales, which are
+exact fractions. The units of money and of the time pay counts by come from rate tables,
+because their scales are data.
 
-Grammar of a clause (``[x]`` optional, ``{x}`` repeated)::
+Grammar of a clause (``[x]`` optional, ``{x}`` repeated, ``|`` choice), read by recursive
+descent over the tokens of :data:`_TOKEN`::
 
-    clause   = {label} amount {range amount} {period | label}
-    amount   = [currency] number [multiplier] [currency]
-    number   = digits with group and decimal signs | number words
-    period   = ("/" | "per" | "a" | ...) time-unit | time-adverb
+    clause     = { amount | currency | period | word }
+    amount     = number [ suffix | "%" ]
+    suffix     = multiplier | multiplier currency | composite
+    number     = digits with group and decimal signs | number words
+    composite  = word for a multiplier with units ("LPA", "TEUR")
+    period     = time unit or time adverb of any language known
 
 A currency, period or multiplier that only one amount of a clause states holds for
-all of them; a bracketed clause may add the currency, but its amounts are
-equivalents of the ones before and are not read again.
+all of them (the first stated one, for multipliers the last); a bracketed clause may add
+the currency, but its amounts are equivalents of the ones before and are not read again. A
+clause that speaks of something else than base pay (:data:`NOT_BASE`) states none.
 """
 
 from __future__ import annotations
@@ -23,6 +28,7 @@ import re
 import unicodedata
 from dataclasses import dataclass
 from decimal import Decimal
+from fractions import Fraction
 from functools import lru_cache
 
 BASE = ("money", "time", "length", "mass", "temperature")
@@ -39,27 +45,37 @@ class Unit:
     """``canonical = value * scale + offset`` in the canonical unit of ``dims``."""
 
     dims: Vector
-    scale: Decimal = Decimal(1)
-    offset: Decimal = Decimal(0)
+    scale: Fraction = Fraction(1)
+    offset: Fraction = Fraction(0)
 
     def __mul__(self, other: Unit) -> Unit:
         return Unit(tuple(a + b for a, b in zip(self.dims, other.dims, strict=True)), self.scale * other.scale)  # type: ignore[arg-type]
 
+    def __truediv__(self, other: Unit) -> Unit:
+        return self * other**-1
+
     def __pow__(self, n: int) -> Unit:
         return Unit(tuple(a * n for a in self.dims), self.scale**n)  # type: ignore[arg-type]
 
+    def canonical(self, value: Decimal | int | Fraction) -> Fraction:
+        return Fraction(value) * self.scale + self.offset
+
+
+def _unit(dims: Vector, scale: str = "1", offset: str = "0") -> Unit:
+    return Unit(dims, Fraction(scale), Fraction(offset))
+
 
 _T, _L, _M, _K = vector(time=1), vector(length=1), vector(mass=1), vector(temperature=1)
 #: Units and their scale to second, metre, kilogram and kelvin.
 PHYSICAL = {
-    "s": Unit(_T), "sec": Unit(_T), "second": Unit(_T), "min": Unit(_T, Decimal(60)), "minute": Unit(_T, Decimal(60)),
-    "h": Unit(_T, Decimal(3600)), "hour": Unit(_T, Decimal(3600)), "day": Unit(_T, Decimal(86400)), "week": Unit(_T, Decimal(604800)),
-    "m": Unit(_L), "metre": Unit(_L), "meter": Unit(_L), "mm": Unit(_L, Decimal("0.001")), "cm": Unit(_L, Decimal("0.01")), "km": Unit(_L, Decimal(1000)),
-    "in": Unit(_L, Decimal("0.0254")), "inch": Unit(_L, Decimal("0.0254")), "ft": Unit(_L, Decimal("0.3048")), "foot": Unit(_L, Decimal("0.3048")),
-    "yd": Unit(_L, Decimal("0.9144")), "mi": Unit(_L, Decimal("1609.344")), "mile": Unit(_L, Decimal("1609.344")),
-    "kg": Unit(_M), "g": Unit(_M, Decimal("0.001")), "mg": Unit(_M, Decimal("0.000001")), "t": Unit(_M, Decimal(1000)),
-    "lb": Unit(_M, Decimal("0.45359237")), "oz": Unit(_M, Decimal("0.028349523125")),
-    "k": Unit(_K), "°c": Unit(_K, Decimal(1), Decimal("273.15")), "°f": Unit(_K, Decimal(5) / Decimal(9), Decimal("273.15") - Decimal(32) * 5 / 9),
+    "s": _unit(_T), "sec": _unit(_T), "second": _unit(_T), "min": _unit(_T, "60"), "minute": _unit(_T, "60"),
+    "h": _unit(_T, "3600"), "hour": _unit(_T, "3600"), "day": _unit(_T, "86400"), "week": _unit(_T, "604800"),
+    "m": _unit(_L), "metre": _unit(_L), "meter": _unit(_L), "mm": _unit(_L, "0.001"), "cm": _unit(_L, "0.01"), "km": _unit(_L, "1000"),
+    "in": _unit(_L, "0.0254"), "inch": _unit(_L, "0.0254"), "ft": _unit(_L, "0.3048"), "foot": _unit(_L, "0.3048"),
+    "yd": _unit(_L, "0.9144"), "mi": _unit(_L, "1609.344"), "mile": _unit(_L, "1609.344"),
+    "kg": _unit(_M), "g": _unit(_M, "0.001"), "mg": _unit(_M, "0.000001"), "t": _unit(_M, "1000"),
+    "lb": _unit(_M, "0.45359237"), "oz": _unit(_M, "0.028349523125"),
+    "k": _unit(_K), "°c": _unit(_K, "1", "273.15"), "°f": _unit(_K, "5/9", "45967/180"),
 }
 
 
@@ -161,61 +177,98 @@ def _to_decimal(text: str, multiplied: bool) -> Decimal:
 
 @dataclass(frozen=True)
 class Amount:
+    """An amount with the unit a text gives it: ``currency`` per ``period``."""
+
     value: Decimal
     currency: str
     period: str
 
-    @property
-    def dims(self) -> Vector:
-        return vector(money=1, time=-1)
+    def unit(self, table: dict[str, Unit]) -> Unit | None:
+        """The unit built from its parts; null if the table lacks one of them."""
+        money, time = table.get(self.currency), table.get(self.period)
+        return money / time if money is not None and time is not None else None
+
+
+@dataclass
+class _Number:
+    text: str
+    multiplier: int | None = None
+    percent: bool = False
+
+
+class _Clause:
+    """Recursive descent over the tokens of one clause."""
+
+    def __init__(self, text: str) -> None:
+        self.tokens = list(_TOKEN.finditer(text))
+        self.at = 0
+        self.numbers: list[_Number] = []
+        self.currency: str | None = None
+        self.period: str | None = None
+
+    def parse(self) -> _Clause:
+        while self.at < len(self.tokens):
+            if self.tokens[self.at]["num"]:
+                self.amount()
+            else:
+                self.unit_or_word()
+        return self
+
+    def word(self) -> str:
+        """The token at hand in small letters, empty at the end and for numbers."""
+        return self.tokens[self.at][0].lower() if self.at < len(self.tokens) and not self.tokens[self.at]["num"] else ""
+
+    def amount(self) -> None:
+        self.numbers.append(_Number(self.tokens[self.at][0]))
+        self.at += 1
+        self.suffix(self.numbers[-1])
+
+    def suffix(self, number: _Number) -> None:
+        """What stands right after a number and belongs to it alone."""
+        token = self.word()
+        if token == "%":
+            number.percent = True
+        elif token in MULTIPLIERS and token not in COMPOSITE:
+            number.multiplier = MULTIPLIERS[token]
+        elif token[:1] in ("k", "m", "l") and token[1:] in CURRENCIES and token not in PERIOD_OF and token not in COMPOSITE:
+            number.multiplier, self.currency = MULTIPLIERS[token[0]], CURRENCIES[token[1:]]
+        else:
+            return
+        self.at += 1
+
+    def unit_or_word(self) -> None:
+        token = self.word()
+        self.at += 1
+        if token == "%" and self.numbers:
+            self.numbers[-1].percent = True
+        elif token in COMPOSITE:
+            multiplier, currency, period = COMPOSITE[token]
+            if self.numbers:
+                self.numbers[-1].multiplier = multiplier
+            self.currency, self.period = self.currency or currency, self.period or period
+        elif token in CURRENCIES:
+            self.currency = self.currency or CURRENCIES[token]
+        else:
+            self.period = self.period or PERIOD_OF.get(token) or PERIOD_OF.get(token.rstrip("."))
+
+    def amounts(self, outer_currency: str | None) -> list[Amount]:
+        plain = [n for n in self.numbers if not n.percent]
+        currency = self.currency or outer_currency
+        shared = next((n.multiplier for n in reversed(plain) if n.multiplier), None)
+        out = []
+        for n in plain:
+            value = _to_decimal(n.text, bool(n.multiplier or shared))
+            value *= n.multiplier or (shared if shared and value < 1000 else 1)
+            if currency is None and self.period is None and shared is None and value < 1000:
+                continue  # a bare small number is no pay
+            if value > 0:
+                out.append(Amount(value, currency or "USD", self.period or "year"))
+        return out
 
 
 def _clause(text: str, outer_currency: str | None) -> list[Amount]:
     """The amounts a clause states, with the units it gives them; may be empty."""
-    text = re.sub(r"\bpar\s+an\b", "annuel", text)
-    numbers: list[list] = []  # text, multiplier, currency, percent
-    currency = period = None
-    pending = None
-    for m in _TOKEN.finditer(text):
-        token = m[0].lower()
-        if m["num"]:
-            numbers.append([m["num"], None, pending, False])
-            pending = None
-        elif m["pct"]:
-            if numbers:
-                numbers[-1][3] = True
-        elif m["cur"]:
-            attached = numbers and text[: m.start()].rstrip().endswith(numbers[-1][0])
-            if token in COMPOSITE:
-                mult, cur, per = COMPOSITE[token]
-                if numbers:
-                    numbers[-1][1] = mult
-                currency, period = currency or cur, period or per
-            elif attached and re.fullmatch(r"(?:k|m|l)[a-z€$£]*", token) and token[1:] in CURRENCIES and token not in PERIOD_OF:
-                numbers[-1][1], currency = MULTIPLIERS[token[0]], CURRENCIES[token[1:]]
-            elif attached and token in MULTIPLIERS:
-                numbers[-1][1] = MULTIPLIERS[token]
-            elif token in CURRENCIES:
-                currency = currency or CURRENCIES[token]
-                pending = CURRENCIES[token]
-            elif (token if token in PERIOD_OF else token.rstrip(".")) in PERIOD_OF:
-                period = period or PERIOD_OF[token if token in PERIOD_OF else token.rstrip(".")]
-    plain = [n for n in numbers if not n[3]]
-    if not plain:
-        return []
-    currency = currency or outer_currency
-    shared = next((n[1] for n in reversed(plain) if n[1]), None)
-    out = []
-    for raw, mult, _, _ in plain:
-        value = _to_decimal(raw, bool(mult or shared))
-        if mult is None and shared and value < 1000:
-            mult = shared
-        value *= mult or 1
-        if currency is None and period is None and shared is None and value < 1000:
-            continue  # a bare small number is no pay
-        if value > 0:
-            out.append(Amount(value, currency or "USD", period or "year"))
-    return out
+    return _Clause(re.sub(r"\bpar\s+an\b", "annuel", text)).parse().amounts(outer_currency)
 
 
 @lru_cache(maxsize=65536)

@@ -1,12 +1,13 @@
 from decimal import Decimal
+from fractions import Fraction
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from leadloom.functions.units import PHYSICAL, parse_pay, parse_unit, vector
-from leadloom.operators.quantities import physical, yearly_usd
+from leadloom.functions.units import PHYSICAL, Unit, parse_pay, parse_unit, vector
+from leadloom.operators.quantities import PAY, converted, physical, rate_units, yearly_usd
 
 CASES = [
     ("$89,000 — $118,000 a year", [("89000", "USD", "year"), ("118000", "USD", "year")]), ("82 – 106K dollars per annum", [("82000", "USD", "year"), ("106000", "USD", "year")]),
@@ -22,7 +23,8 @@ CASES = [
 @pytest.mark.parametrize(("text", "want"), CASES)
 def test_pay_grammar(text, want):
     assert [(a.value, a.currency, a.period) for a in parse_pay(text)] == [(Decimal(v), c, p) for v, c, p in want]
-    assert all(a.dims == vector(money=1, time=-1) for a in parse_pay(text))
+    table = {c: Unit(vector(money=1)) for _, c, _ in want} | {p: Unit(vector(time=1)) for _, _, p in want}
+    assert all(a.unit(table).dims == vector(money=1, time=-1) and a.unit({}) is None for a in parse_pay(text))
 
 
 @settings(max_examples=60, deadline=None)
@@ -40,8 +42,8 @@ def test_ranges_keep_their_ends(lo, more, joint, currency):
 
 def test_units_are_exponent_vectors():
     u = parse_unit("kg*m/s^2")
-    assert u.dims == vector(mass=1, length=1, time=-2) and parse_unit("km/h").scale == Decimal(1000) / Decimal(3600) and parse_unit("parsec") is None
-    assert PHYSICAL["°f"].scale * 212 + PHYSICAL["°f"].offset == pytest.approx(Decimal("373.15"))
+    assert u.dims == vector(mass=1, length=1, time=-2) and parse_unit("km/h").scale == Fraction(1000, 3600) and parse_unit("parsec") is None
+    assert PHYSICAL["°f"].canonical(212) == Fraction("373.15")
 
 
 def test_yearly_usd(spark):
@@ -58,3 +60,14 @@ def test_physical(spark):
     df = spark.createDataFrame([("72 km/h",), ("20 °C",), ("nothing",), (None,)], "t string")
     got = [r["p"]["value"] for r in df.select(physical(F.col("t")).alias("p")).collect()]
     assert got[0] == pytest.approx(20) and got[1] == pytest.approx(293.15) and got[2:] == [None, None]
+
+
+def test_conversion_goes_through_the_vectors(spark):
+    cur = spark.createDataFrame([("USD", Decimal("1.0")), ("GBP", Decimal("1.275")), (None, Decimal(1))], "currency string, usd_per_unit decimal(10,4)")
+    per = spark.createDataFrame([("year", 1), ("hour", 2080), ("never", None)], "period_name string, per_year int")
+    units = rate_units(cur, per)
+    assert units["GBP"] / units["hour"] == Unit(PAY, Fraction("1.275") * 2080) and "never" not in units
+    df = spark.createDataFrame([("£44/h",)], "t string")
+    assert df.select(converted(F.col("t"), units, PAY)).first()[0] == [116688]
+    assert df.select(converted(F.col("t"), units | {"hour": Unit(vector(length=1), Fraction(1, 2080))}, PAY)).first()[0] == []
+    assert df.select(converted(F.col("t"), units, vector(money=1))).first()[0] == []
