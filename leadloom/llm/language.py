@@ -3,19 +3,28 @@
 A text is a bag of hashed subwords (letter n-grams and whole words of folded text). The
 averaged embeddings of its subwords go through a linear softmax; both are trained by
 stochastic gradient descent in numpy on a bounded sample of labelled sentences of the same
-table (parameters of :class:`Training`). Labels may be wrong, so sentences to which the first
-model gives another language at twice the probability are left out of the second. A temperature and the least confidence
-that keeps the error of held-out sentences under ``max_error`` calibrate the rejection.
+table (parameters of :class:`Training`). One class more than the languages stands for no
+language; its examples are sentences whose letters were shuffled. Labels may be wrong, so
+sentences to which the first model gives another language at twice the probability are
+left out of the second.
+
+Rejection is calibrated on the sentences of documents that neither model was fitted on.
+Their labels may be wrong as well, so documents count only if at least three quarters of
+their sentences (and three at least) get the language of the label; all sentences of such a
+document count, also those that get another one. The temperature is the one under which they are
+most likely; the least confidence is the smallest at which no more than ``max_error`` of
+the accepted answers are wrong. A text below it, or one that is most likely no language,
+comes out as ``und``.
 
 Only sentences speak for a language: titles, headings, lists of tools, numbers, addresses
 and markup are left out. A document is mixed if two of its blocks are surely of different
 languages.
 
 Defined results: null, empty and sentence-free texts give nothing; damaged characters are
-repaired first; a block without sentences in a mixed document takes the language of the
-block before it (or else after it); whole texts are read, however long; repeated rows give
-repeated results; a table without usable labels or an empty one gives an empty result;
-extra columns are not read.
+repaired first; a block without sentences, or with rejected ones, takes the language of the
+block before it in a mixed document (or else after it); whole texts are read, however long;
+repeated rows give repeated results; a table without usable labels or an empty one gives an
+empty result; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -43,6 +52,8 @@ LABELS = {
 }
 LABEL_OF = {w: code for code, words in LABELS.items() for w in words.split()}
 LANGUAGES = tuple(sorted(LABELS))
+#: Language of a rejected text.
+UNKNOWN = "und"
 
 _FOUND = T.ArrayType(T.StructType([T.StructField("block_no", T.IntegerType()), T.StructField("lang", T.StringType()), T.StructField("confidence", T.DoubleType()), T.StructField("mixed", T.BooleanType())]))
 
@@ -60,6 +71,8 @@ class Training:
     rate: float = 0.5
     held_out: float = 0.1
     max_error: float = 0.002
+    #: Shuffled sentences per sentence, as examples of no language.
+    shuffled: float = 0.15
     seed: int = 7
 
 
@@ -97,7 +110,7 @@ def sentences(text: str) -> list[tuple[str, list[str]]]:
     """Sentences of a repaired text and their words: at least four words, ended by a mark or running on in small letters."""
     out = []
     for line in text.split("\n"):
-        if len(line) < 12:
+        if len(line) < 7:  # four words can't be shorter
             continue
         m = _BULLET.match(line)
         for part in _PART.split(line[m.end() :] if m else line):
@@ -187,65 +200,97 @@ class Model:
 def _fit(samples: list[np.ndarray], labels: np.ndarray, p: Training) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     rng = np.random.default_rng(p.seed)
     E = rng.uniform(-1 / p.width, 1 / p.width, (p.buckets, p.width)).astype(np.float32)
-    W, b = np.zeros((p.width, len(LANGUAGES)), np.float32), np.zeros(len(LANGUAGES), np.float32)
+    W, b = np.zeros((p.width, len(LANGUAGES) + 1), np.float32), np.zeros(len(LANGUAGES) + 1, np.float32)
     n, step, steps = len(samples), 0, max(1, p.epochs * -(-len(samples) // p.batch))
+    sizes = np.array([len(x) for x in samples])
+    flat, begins = np.concatenate(samples), np.concatenate([[0], np.cumsum(sizes)[:-1]])
     for _ in range(p.epochs):
         order = rng.permutation(n)
         for k in range(0, n, p.batch):
             pick = order[k : k + p.batch]
-            lengths = np.array([len(samples[i]) for i in pick])
-            ids = np.concatenate([samples[i] for i in pick])
+            lengths = sizes[pick]
             starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-            mean = np.add.reduceat(E[ids], starts, axis=0) / lengths[:, None]
+            ids = flat[np.repeat(begins[pick] - starts, lengths) + np.arange(lengths.sum())]
+            mean = np.add.reduceat(E.take(ids, axis=0), starts, axis=0) / lengths[:, None]
             z = mean @ W + b
             e = np.exp(z - z.max(axis=1, keepdims=True))
             g = e / e.sum(axis=1, keepdims=True)
             g[np.arange(len(pick)), labels[pick]] -= 1
             rate = p.rate * (1 - step / steps)
-            back = (g @ W.T) / lengths[:, None]
+            back = ((-rate * 4) * (g @ W.T) / lengths[:, None]).astype(np.float32)
             W -= rate * mean.T @ g / 4
             b -= rate * g.sum(axis=0) / len(pick)
-            np.add.at(E, ids, (-rate * 4 * np.repeat(back, lengths, axis=0)).astype(np.float32))
+            # The steps of a subword are added up before they are applied.
+            steps_of = np.repeat(back.T, lengths, axis=1)
+            for d in range(p.width):
+                E[:, d] += np.bincount(ids, weights=steps_of[d], minlength=p.buckets)
             step += 1
     return E, W, b
 
 
-def train(texts: list[str], codes: list[str], p: Training) -> Model | None:
-    """A calibrated model, or null if fewer than two languages are left."""
-    ids = [_ids(t, p.buckets) for t in texts]
-    keep = [i for i, x in enumerate(ids) if len(x)]
-    ids, y = [ids[i] for i in keep], np.array([LANGUAGES.index(codes[i]) for i in keep], dtype=np.int64)
-    if len(set(y.tolist())) < 2:
-        return None
+def shuffled_text(text: str, rng: np.random.Generator) -> str:
+    """The letters of a text in another order, in words of the same lengths."""
+    words = folded_words(text)
+    letters = list("".join(words))
+    rng.shuffle(letters)
+    cuts = np.cumsum([0] + [len(w) for w in words])
+    return " ".join("".join(letters[i:j]) for i, j in zip(cuts, cuts[1:], strict=False))
 
-    def means(E: np.ndarray, part: list[np.ndarray]) -> np.ndarray:
-        return np.stack([E[x].mean(axis=0) for x in part]) if part else np.zeros((0, p.width))
 
-    def soft(z: np.ndarray) -> np.ndarray:
-        e = np.exp(z - z.max(axis=1, keepdims=True))
+def calibrate(z: np.ndarray, truth: np.ndarray, document: np.ndarray, max_error: float) -> tuple[float, float]:
+    """Temperature and least confidence, from the scores of held-out sentences, their labels and their documents."""
+
+    def soft(x: np.ndarray) -> np.ndarray:
+        e = np.exp(x - x.max(axis=1, keepdims=True))
         return e / e.sum(axis=1, keepdims=True)
 
-    E, W, b = _fit(ids, y, p)
-    own = soft(means(E, ids) @ W + b)
-    agreed = own[np.arange(len(y)), y] >= 0.5 * own.max(axis=1)
-    ids, y = [x for x, ok in zip(ids, agreed, strict=True) if ok], y[agreed]
-    held = np.random.default_rng(p.seed + 1).random(len(y)) < p.held_out
-    E, W, b = _fit([x for x, h in zip(ids, held, strict=True) if not h], y[~held], p)
-    model = Model(E, W, b)
-    if held.any():
-        z, truth = means(E, [x for x, h in zip(ids, held, strict=True) if h]) @ W + b, y[held]
-        scale = np.geomspace(0.25, 4.0, 33)
-        model.temperature = float(min(scale, key=lambda t: -np.log(soft(z / t)[np.arange(len(truth)), truth] + 1e-9).mean()))
-        sure, right = soft(z / model.temperature).max(axis=1), z.argmax(axis=1) == truth
-        for least in (0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.99):
-            model.least = least
-            if not (sure >= least).any() or 1 - right[sure >= least].mean() <= p.max_error:
-                break
+    right = z[:, : len(LANGUAGES)].argmax(axis=1) == truth
+    _, at = np.unique(document, return_inverse=True)
+    n, agreed = np.bincount(at), np.bincount(at, right)
+    of_label = ((n >= 3) & (agreed >= 0.75 * n))[at]
+    if not of_label.any():
+        return 1.0, 0.5
+    z, truth, right = z[of_label], truth[of_label], right[of_label]
+    rows = np.arange(len(truth))
+    temperature = float(min(np.geomspace(0.25, 4.0, 33), key=lambda t: -np.log(soft(z / t)[rows, truth] + 1e-9).mean()))
+    sure = soft(z / temperature)[:, : len(LANGUAGES)].max(axis=1)
+    order = np.argsort(-sure, kind="stable")
+    fine = np.flatnonzero(np.cumsum(~right[order]) <= max_error * np.arange(1, len(order) + 1))
+    return temperature, float(max(0.5, sure[order[fine[-1]]])) if len(fine) else 1.0
+
+
+def train(texts: list[str], codes: list[str], held: list[int | None], p: Training) -> Model | None:
+    """A model fitted on the texts that are not held out and calibrated on those that are (``held``: their document, else null); null if fewer than two languages are left."""
+    ids = [_ids(t, p.buckets) for t in texts]
+    keep = np.array([len(x) > 0 for x in ids], dtype=bool)
+    y = np.array([LANGUAGES.index(c) for c in codes], dtype=np.int64)
+    out = np.array([h is not None for h in held], dtype=bool) & keep
+    fit = np.flatnonzero(keep & ~out)
+    if len(set(y[fit].tolist())) < 2:
+        return None
+    rng = np.random.default_rng(p.seed + 1)
+    none = [x for i in rng.choice(fit, int(len(fit) * p.shuffled)) if len(x := _ids(shuffled_text(texts[i], rng), p.buckets))]
+
+    def scores(model: tuple, part: list[np.ndarray]) -> np.ndarray:
+        E, W, b = model
+        means = [E.take(x, axis=0).mean(axis=0) for x in part]
+        return np.stack(means) @ W + b
+
+    def fitted(at: np.ndarray) -> tuple:
+        return _fit([ids[i] for i in at] + none, np.concatenate([y[at], np.full(len(none), len(LANGUAGES))]), p)
+
+    z = scores(fitted(fit), [ids[i] for i in fit])[:, : len(LANGUAGES)]
+    fit = fit[z[np.arange(len(fit)), y[fit]] >= z.max(axis=1) - np.log(2)]
+    best = fitted(fit)
+    model = Model(*best)
+    if out.any():
+        at = np.flatnonzero(out)
+        model.temperature, model.least = calibrate(scores(best, [ids[i] for i in at]), y[at], np.array([held[i] for i in at]), p.max_error)
     return model
 
 
 def training_sentences(docs: DataFrame, p: Training) -> DataFrame:
-    """code, text: the bounded sample, chosen by hash, alike for every label."""
+    """code, held, text: the bounded sample, chosen by hash, alike for every label; ``held``: the document's id if it is held out, else null."""
     labelled = docs.select("id", "text", label_language(F.col("label")).alias("code")).filter("code is not null and text is not null")
     counts = labelled.groupBy("code").agg(F.count("*").alias("n"))
     share = F.pmod(F.xxhash64("id", F.lit("train")), F.lit(1 << 30)) / F.lit(float(1 << 30))
@@ -260,7 +305,8 @@ def training_sentences(docs: DataFrame, p: Training) -> DataFrame:
         return pd.Series([pick(t) for t in texts], dtype=object)
 
     bound = int(p.documents_per_label * len(LANGUAGES) * 1.3) * per
-    return chosen.select("code", F.explode(some("text")).alias("text")).limit(bound)
+    held = F.when(F.pmod(F.xxhash64("id", F.lit("held")), F.lit(1000)) < int(1000 * p.held_out), F.col("id").cast("long"))
+    return chosen.select("code", held.alias("held"), F.explode(some("text")).alias("text")).limit(bound)
 
 
 def _read(text: str, model: Model) -> list[tuple[int, str, float, bool]]:
@@ -270,16 +316,17 @@ def _read(text: str, model: Model) -> list[tuple[int, str, float, bool]]:
         return []
     totals = model.totals(blocks)
     p = model.probabilities(np.concatenate([totals.sum(axis=0, keepdims=True), totals]))
-    best, sureness = p.argmax(axis=1), p.max(axis=1)
-    spoken = totals[:, -1] > 0
-    sure = set(best[1:][spoken & (sureness[1:] >= max(model.least, 0.8))].tolist())
-    mixed = len(sure) > 1
-    out = [(0, LANGUAGES[best[0]], float(sureness[0]), mixed)]
+    known = p[:, : len(LANGUAGES)]
+    best, sureness = known.argmax(axis=1), known.max(axis=1)
+    accepted = (sureness >= model.least) & (p.argmax(axis=1) < len(LANGUAGES))
+    spoken = accepted[1:] & (totals[:, -1] > 0)
+    mixed = len(set(best[1:][spoken].tolist())) > 1
+    out = [(0, LANGUAGES[best[0]] if accepted[0] or mixed else UNKNOWN, float(sureness[0]), mixed)]
     if mixed:
         before = int(best[1:][spoken][0])
         for i, said in enumerate(spoken.tolist(), 1):
             before = int(best[i]) if said else before
-            out.append((i, LANGUAGES[before], float(sureness[i]) if said else 0.0, True))
+            out.append((i, LANGUAGES[before], float(known[i, before]) if totals[i - 1, -1] > 0 else 0.0, True))
     return out
 
 
@@ -291,8 +338,8 @@ def label_documents(docs: DataFrame, p: Training | None = None) -> DataFrame:
     """
     p = p or Training()
     spark = docs.sparkSession
-    sample = sorted((r["code"], r["text"]) for r in training_sentences(docs, p).collect())
-    model = train([t for _, t in sample], [c for c, _ in sample], p)
+    sample = sorted(((r["code"], r["text"], r["held"]) for r in training_sentences(docs, p).collect()), key=str)
+    model = train([t for _, t, _ in sample], [c for c, _, _ in sample], [h for _, _, h in sample], p)
     if model is None:
         return spark.createDataFrame([], "id long, label string, code string, block_no int, lang string, confidence double, mixed boolean")
     shared = spark.sparkContext.broadcast((model.embedding, model.weights, model.bias, model.temperature, model.least))

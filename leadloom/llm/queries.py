@@ -198,7 +198,8 @@ def _languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose label names no language or another one, and every block of mixed ones."""
     found = _languages(spark, sf_dir)
-    wrong = ~F.col("mixed") & (F.col("block_no") == 0) & ~F.col("code").eqNullSafe(F.col("lang"))
+    named = F.col("lang") != language.UNKNOWN
+    wrong = named & ~F.col("mixed") & (F.col("block_no") == 0) & ~F.col("code").eqNullSafe(F.col("lang"))
     block = F.col("mixed") & (F.col("block_no") > 0)
     return found.filter(wrong | block).select(F.col("id").alias("doc_id"), F.col("block_no").cast("int").alias("block_no"), "lang")
 

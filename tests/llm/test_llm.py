@@ -419,9 +419,46 @@ def test_language_of_blocks(spark):
     assert language.label_documents(df.limit(0)).count() == 0
 
 
-def test_p10_held_out_labels(spark):
-    """Two-letter labels of the table are right for most documents; found rows are the others and the mixed ones."""
-    sf = "/root/testdata/sf0.01"
-    every = queries.p10_languages(spark, sf).filter("block_no = 0 and not mixed").join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.col("lang").alias("label")), "doc_id")
-    known = every.filter(F.col("label").isin(*language.LANGUAGES)).select(F.avg((F.col("label") == F.col("lang")).cast("int"))).first()[0]
-    assert known > 0.85
+@pytest.fixture(scope="module")
+def model():
+    import pandas as pd
+
+    docs = pd.read_parquet("/root/testdata/sf0.01/documents.parquet", columns=["doc_id", "text", "lang"]).dropna()
+    docs = docs[docs.lang.isin(language.LANGUAGES) & (docs.doc_id % 5 != 0)]
+    sample = [(i, t, c) for i, text, c in docs.itertuples(index=False) for t, _ in language.sentences(language.repair(text))[:12]]
+    return language.train([t for _, t, _ in sample], [c for _, _, c in sample], [i if i % 7 == 0 else None for i, _, _ in sample], language.Training(epochs=12))
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["Etsimme henkilöä, joka pitää työstä ja tiimistä. Toimisto on hiljainen ja ajat joustavat.", "Olyan munkatársat keresünk, aki szereti a munkát és a csapatot.", "asdkj qwlkej zxmcnb qpwoei alskdj zmxncb. wqeoi asldk zmxnc qwepo.",
+     "xkcd fghj rtyu vbnm lkjh qwrt."],
+)
+def test_other_languages_and_noise_are_rejected(model, text):
+    assert model.least >= 0.5 and language._read(text, model)[0][1] == language.UNKNOWN
+
+
+def test_known_languages_are_accepted(model):
+    assert {c: language._read(" ".join(v), model)[0][1] for c, v in SENTENCES.items()} == {c: c for c in SENTENCES}
+
+
+def test_calibration_keeps_the_error_of_untouched_documents():
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    truth, sure = rng.integers(0, 8, 4000), rng.random(4000)
+    z = np.where(np.arange(9) == np.where(rng.random(4000) < 0.5 + sure / 2, truth, (truth + 1) % 8)[:, None], 6 * sure[:, None], 0.0)
+    temperature, least = language.calibrate(z, truth, np.arange(4000) // 20, 0.05)
+    e = np.exp(z / temperature)
+    taken = (e / e.sum(axis=1, keepdims=True))[:, :8].max(axis=1) >= least
+    of_label = np.repeat((z[:, :8].argmax(axis=1) == truth).reshape(-1, 20).mean(axis=1) >= 0.75, 20)
+    assert 0.05 < taken.mean() < 0.95 and 1 - (z[:, :8].argmax(axis=1) == truth)[taken & of_label].mean() <= 0.05
+
+
+def test_p10_labels_that_were_held_out(spark):
+    """Every fifth document has no label while the model is trained; most two-letter labels are right, and accepted answers should give them."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("label"))
+    hidden = F.col("id") % 5 == 0
+    found = language.label_documents(docs.withColumn("label", F.when(~hidden, F.col("label")))).filter(hidden & (F.col("block_no") == 0) & ~F.col("mixed"))
+    got = found.join(docs.select("id", F.col("label").alias("truth")), "id").filter(F.col("truth").isin(*language.LANGUAGES)).select(F.count("*"), F.avg((F.col("lang") == language.UNKNOWN).cast("int")), F.avg((F.col("lang") == F.col("truth")).cast("int"))).first()
+    assert got[0] > 80 and got[1] < 0.05 and got[2] > 0.85
