@@ -12,8 +12,8 @@ Rejection is calibrated on the sentences of documents that neither model was fit
 Their labels may be wrong as well, so documents count only if at least three quarters of
 their sentences (and three at least) get the language of the label; all sentences of such a
 document count, also those that get another one. The temperature is the one under which they are
-most likely; the least confidence is the smallest at which no more than ``max_error`` of
-the accepted answers are wrong. A text below it, or one that is most likely no language,
+most likely; the least confidence is the smallest at which the accepted answers are wrong no
+more often than ``max_error``, give or take a standard deviation of such a count. A text below it, or one that is most likely no language,
 comes out as ``und``.
 
 Only sentences speak for a language: titles, headings, lists of tools, numbers, addresses
@@ -66,11 +66,15 @@ class Training:
     sentences_per_document: int = 8
     buckets: int = 1 << 15
     width: int = 16
+    #: Passes over the sample; more where it is so small that they make fewer than ``least_steps`` steps.
     epochs: int = 4
+    least_steps: int = 640
     batch: int = 256
     rate: float = 0.5
     held_out: float = 0.1
     max_error: float = 0.002
+    #: Longest step of the weights.
+    clip: float = 2.0
     #: Shuffled sentences per sentence, as examples of no language.
     shuffled: float = 0.15
     seed: int = 7
@@ -201,10 +205,12 @@ def _fit(samples: list[np.ndarray], labels: np.ndarray, p: Training) -> tuple[np
     rng = np.random.default_rng(p.seed)
     E = rng.uniform(-1 / p.width, 1 / p.width, (p.buckets, p.width)).astype(np.float32)
     W, b = np.zeros((p.width, len(LANGUAGES) + 1), np.float32), np.zeros(len(LANGUAGES) + 1, np.float32)
-    n, step, steps = len(samples), 0, max(1, p.epochs * -(-len(samples) // p.batch))
+    n, step, per_epoch = len(samples), 0, -(-len(samples) // p.batch)
+    epochs = max(p.epochs, -(-p.least_steps // per_epoch))
+    steps = epochs * per_epoch
     sizes = np.array([len(x) for x in samples])
     flat, begins = np.concatenate(samples), np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    for _ in range(p.epochs):
+    for _ in range(epochs):
         order = rng.permutation(n)
         for k in range(0, n, p.batch):
             pick = order[k : k + p.batch]
@@ -218,7 +224,8 @@ def _fit(samples: list[np.ndarray], labels: np.ndarray, p: Training) -> tuple[np
             g[np.arange(len(pick)), labels[pick]] -= 1
             rate = p.rate * (1 - step / steps)
             back = ((-rate * 4) * (g @ W.T) / lengths[:, None]).astype(np.float32)
-            W -= rate * mean.T @ g / 4
+            turn = rate * mean.T @ g / 4
+            W -= turn * min(1.0, p.clip / (float(np.sqrt((turn * turn).sum())) + 1e-12))
             b -= rate * g.sum(axis=0) / len(pick)
             # The steps of a subword are added up before they are applied.
             steps_of = np.repeat(back.T, lengths, axis=1)
@@ -252,10 +259,11 @@ def calibrate(z: np.ndarray, truth: np.ndarray, document: np.ndarray, max_error:
         return 1.0, 0.5
     z, truth, right = z[of_label], truth[of_label], right[of_label]
     rows = np.arange(len(truth))
-    temperature = float(min(np.geomspace(0.25, 4.0, 33), key=lambda t: -np.log(soft(z / t)[rows, truth] + 1e-9).mean()))
+    temperature = float(min(np.geomspace(0.05, 4.0, 65), key=lambda t: -np.log(soft(z / t)[rows, truth] + 1e-9).mean()))
     sure = soft(z / temperature)[:, : len(LANGUAGES)].max(axis=1)
     order = np.argsort(-sure, kind="stable")
-    fine = np.flatnonzero(np.cumsum(~right[order]) <= max_error * np.arange(1, len(order) + 1))
+    allowed = max_error * np.arange(1, len(order) + 1)
+    fine = np.flatnonzero(np.cumsum(~right[order]) <= allowed + np.sqrt(allowed))
     return temperature, float(max(0.5, sure[order[fine[-1]]])) if len(fine) else 1.0
 
 
