@@ -14,7 +14,7 @@ links (:func:`leadloom.llm.common.components`). So values of other records can't
 records, and only tuples that hold a value with several integers take part.
 
 Integers are 64-bit hashes: two different keys would have to collide in records that agree
-in all other fields.
+in all other fields. Tuples and combinations meet by hashes of 128 bits.
 
 Defined results: null equals null and nothing else; rows with a null URL form no group;
 blank and punctuation-only values equal each other; equal rows are copies; ties go to
@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leadloom.llm.common import components, encode_join
+from leadloom.llm.common import components, encode_join, field_entry
 from leadloom.runtime import durable
 
 _NULL = "\u0000null"
@@ -79,9 +79,9 @@ def _keys(urls: pd.Series, values: pd.Series) -> pd.DataFrame:
 
 
 def value_dictionary(long: DataFrame, url_field: int) -> DataFrame:
-    """entry, n (rows that hold it), codes (its integers), open (whether another value shares some of them only). ``long``: f, entry, value."""
-    values = long.groupBy("f", "entry", "value").agg(F.count("*").alias("n"))
-    k = _keys(F.col("f") == url_field, F.col("value")).alias("k")
+    """entry, n (rows that hold it), codes (its integers), open (whether another value shares some of them only). ``long``: entry (field and value)."""
+    values = long.groupBy("entry").agg(F.count("*").alias("n")).select("entry", "n", F.substring_index("entry", ":", 1).cast("int").alias("f"))
+    k = _keys(F.col("f") == url_field, F.expr("substring(entry, instr(entry, ':') + 1)")).alias("k")
     integers = F.array_sort(F.array_distinct(F.array(*[F.xxhash64("f", f"k.{x}") for x in "abc"])))
     keyed = durable(values.select("f", "entry", "n", k).select("entry", "n", integers.alias("codes")))
     # A value needs one integer only if none of its integers comes in another set.
@@ -93,14 +93,20 @@ def value_dictionary(long: DataFrame, url_field: int) -> DataFrame:
 
 
 def encoded_records(df: DataFrame, id_col: str, text_cols: list[str], url_col: str) -> DataFrame:
-    """id, the tuple of its fields' integers (an array per field) and whether one of its values is open, of each row with a URL."""
+    """id, key of the tuple of its fields' integers, and the tuple itself (an array per field) if one of its values is open, of each row with a URL."""
     columns = [*text_cols, url_col]
     rows = df.filter(F.col(url_col).isNotNull())
-    fields = F.array(*[F.struct(F.lit(i).alias("f"), F.coalesce(F.col(c), F.lit(_NULL)).alias("value")) for i, c in enumerate(columns)])
-    long = rows.select(F.col(id_col).alias("id"), F.explode(fields).alias("x")).select("id", "x.f", "x.value", F.concat(F.col("x.f").cast("string"), F.lit(":"), F.col("x.value")).alias("entry"))
+    fields = F.array(*[field_entry(i, F.coalesce(F.col(c), F.lit(_NULL))) for i, c in enumerate(columns)])
+    long = rows.select(F.col(id_col).alias("id"), F.posexplode(fields).alias("f", "entry"))
     total = rows.count() * len(columns)
-    coded = encode_join(long.select("id", "f", "entry"), "entry", value_dictionary(long, len(columns) - 1), "n", total)
-    return coded.groupBy("id").agg(F.array(*[F.max(F.when(F.col("f") == i, F.col("codes"))) for i in range(len(columns))]).alias("record"), F.max("open").alias("open"))
+    coded = encode_join(long, "entry", value_dictionary(long.select("entry"), len(columns) - 1), "n", total)
+    coded = coded.groupBy("id").agg(F.array(*[F.max(F.when(F.col("f") == i, F.col("codes"))) for i in range(len(columns))]).alias("record"), F.max("open").alias("open"))
+    return coded.select("id", _hash128(F.col("record")).alias("key"), F.when(F.col("open"), F.col("record")).alias("record"))
+
+
+def _hash128(c: Column) -> Column:
+    """32 hexadecimal digits, of two independent hashes of 64 bits."""
+    return F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(salt), c)), 16, "0") for salt in ("a", "b")])
 
 
 def _combinations(record: Column, n: int) -> Column:
@@ -118,13 +124,16 @@ def _combinations(record: Column, n: int) -> Column:
 def collapse(df: DataFrame, id_col: str, text_cols: list[str], url_col: str) -> tuple[DataFrame, DataFrame]:
     """``groups``: first_id, copies. ``members``: first_id, id of every row that is not the first."""
     n = len(text_cols) + 1
-    text = F.array_join(F.transform("record", lambda x: F.array_join(x, ",")), ";").alias("key")
-    records = durable(encoded_records(df, id_col, text_cols, url_col).select("id", "record", "open", text))
-    tuples = durable(records.groupBy("key", "record").agg(F.min("id").alias("first_id"), F.count("*").alias("copies"), F.max("open").alias("open")))
-    choices = tuples.filter("open").select("first_id", F.explode(_combinations(F.col("record"), n)).alias("choice"))
-    choices = durable(choices.select("first_id", F.array_join("choice", ",").alias("choice")))
-    shared = choices.groupBy("choice").agg(F.min("first_id").alias("least"), F.count("*").alias("n")).filter("n > 1")
-    links = choices.join(shared, "choice").select(F.col("first_id").alias("a"), F.col("least").alias("b"))
+    records = durable(encoded_records(df, id_col, text_cols, url_col))
+    tuples = durable(records.groupBy("key").agg(F.first("record").alias("record"), F.min("id").alias("first_id"), F.count("*").alias("copies")))
+    # Only tuples of a URL that several tuples have can be linked.
+    url = F.get(F.get("record", F.lit(n - 1)), F.lit(0)).alias("url")
+    opened = tuples.filter("record is not null").select("first_id", "record", url)
+    crowded = opened.groupBy("url").agg(F.count("*").alias("n")).filter("n > 1").select("url")
+    opened = opened.join(crowded, "url", "left_semi")
+    choices = durable(opened.select("first_id", F.explode(_combinations(F.col("record"), n)).alias("c")).select("first_id", F.xxhash64(F.lit("a"), "c").alias("c1"), F.xxhash64(F.lit("b"), "c").alias("c2")))
+    shared = choices.groupBy("c1", "c2").agg(F.min("first_id").alias("least"), F.count("*").alias("n")).filter("n > 1")
+    links = choices.join(shared, ["c1", "c2"]).select(F.col("first_id").alias("a"), F.col("least").alias("b"))
     roots = components(links).select(F.col("node").alias("first_id"), "root")
     rooted = durable(tuples.join(roots, "first_id", "left").select("key", "first_id", "copies", F.coalesce("root", "first_id").alias("root")))
     groups = rooted.groupBy(F.col("root").alias("first_id")).agg(F.sum("copies").alias("copies"))
