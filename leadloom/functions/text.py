@@ -18,9 +18,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Words a query's terms leave out.
-STOPWORDS = ("a", "an", "and", "at", "for", "in", "job", "jobs", "of", "the", "to")
+STOPWORDS = ("a", "an", "and", "for", "in", "of", "on", "or", "the", "to", "with")
 #: Legal forms dropped from the end of a company's name.
-LEGAL_SUFFIXES = ("co", "company", "corp", "corporation", "gmbh", "inc", "incorporated", "limited", "llc", "ltd", "plc")
+LEGAL_SUFFIXES = ("ag", "bv", "co", "company", "corp", "corporation", "gmbh", "inc", "incorporated", "limited", "llc", "llp", "lp", "ltd", "oy", "plc", "pte", "pty", "sa")
+#: Words dropped from the end of a name or domain for slugs of the fast kind.
+SLUG_SUFFIXES = ("ai", "ag", "bv", "co", "company", "corp", "corporation", "gmbh", "inc", "incorporated", "io", "labs", "llc", "llp", "lp", "limited", "ltd", "oy", "plc", "pte", "pty", "sa", "systems", "tech")
+#: Words dropped from the start of a name.
+ARTICLES = ("a", "an", "the")
+#: Texts of links that name nothing.
+GENERIC_LINKS = (
+    "apply", "apply now", "company", "company profile", "details", "learn more", "more", "open roles", "portfolio", "profile", "read more", "site", "view company", "visit site",
+    "visit website", "website",
+)
 
 
 def clean_text(c: Column) -> Column:
@@ -128,6 +137,32 @@ def slug_candidates(name: Column, domain_label: Column) -> Column:
     return F.filter(F.array_distinct(F.array_compact(options)), lambda s: s != "")
 
 
+def short_tokens(c: Column, suffixes: Sequence[str] = ()) -> Column:
+    """Words without the suffixes at the end and the articles at the start; at least one word stays."""
+    line = F.array_join(tokens(c), " ")
+    if suffixes:
+        line = F.regexp_replace(line, rf"(?:\s+(?:{'|'.join(suffixes)}))+$", "")
+    line = F.regexp_replace(line, rf"^(?:(?:{'|'.join(ARTICLES)})\s+)+", "")
+    return F.filter(F.split(line, " "), lambda w: w != "")
+
+
+def short_slugs(name: Column, domain_stem: Column, most: int = 6) -> Column:
+    """Ordered distinct slugs of the fast kind: words of the domain and of the name, each with and without suffixes, with dashes and run together."""
+    groups = [short_tokens(domain_stem), short_tokens(domain_stem, SLUG_SUFFIXES), short_tokens(name, SLUG_SUFFIXES), short_tokens(name)]
+    options = F.array(*[F.array_join(g, j) for g in groups for j in ("-", "")])
+    return F.slice(F.filter(F.array_distinct(F.array_compact(options)), lambda x: F.length(x) >= 2), 1, most)
+
+
+def first_label(c: Column, table: dict[str, str]) -> Column:
+    """Label of the first pattern that is found; null if none is."""
+    return F.coalesce(*[F.when(c.rlike(p), F.lit(n)) for n, p in table.items()])
+
+
+def reasons(parts: dict[str, Column]) -> Column:
+    """Texts whose condition holds, with ``; `` between; nothing gives null."""
+    return F.nullif(F.concat_ws("; ", *[F.when(c, F.lit(t)) for t, c in parts.items()]), F.lit(""))
+
+
 def display_name(slug: Column) -> Column:
     return F.initcap(F.trim(F.regexp_replace(slug, "[-_]+", " ")))
 
@@ -142,7 +177,7 @@ def merge_lines(*columns: Column) -> Column:
     return F.nullif(F.array_join(F.array_distinct(F.array_compact(F.array(*[clean_text(c) for c in columns]))), "\n"), F.lit(""))
 
 
-def link_text(c: Column, generic: Sequence[str] = ("home", "visit", "website", "learn more", "read more", "more", "here", "click here"), most: int = 80) -> Column:
+def link_text(c: Column, generic: Sequence[str] = GENERIC_LINKS, most: int = 80) -> Column:
     """Text of a link that may be a name; generic or long ones give null."""
     line = one_line(c)
     return F.when(~F.lower(line).isin(*generic) & (F.length(line) <= most), line)

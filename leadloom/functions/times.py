@@ -39,3 +39,9 @@ def within_days(c: Column, as_of: Column, days: int) -> Column:
 
 def batch_stamp(moment: Column) -> Column:
     return F.date_format(moment, "yyyyMMdd'T'HHmmssSSSSSS'Z'")
+
+
+def is_strict_iso(c: Column) -> Column:
+    """Whether a text is a full ISO timestamp with a zone that names a real moment."""
+    shape = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:\d{2})$"
+    return F.coalesce(c.rlike(shape) & F.regexp_replace(F.substring(c, 1, 19), "T", " ").try_cast("timestamp_ntz").isNotNull(), F.lit(False))

@@ -53,3 +53,13 @@ def only_value(df: DataFrame, key: str, value: str) -> DataFrame:
 
 def rank_in_group(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+
+
+def by_reference(jobs: DataFrame, reference: str, url: str = "apply_url", canonical: str = "canonical_apply_url") -> DataFrame:
+    """Rows a text refers to: digits are an id, an absolute URL is one of the two URLs; anything else raises."""
+    text = reference.strip()
+    if text.isdecimal():
+        return jobs.filter(F.col("id") == int(text))
+    if "://" not in text:
+        raise ValueError("a reference has to be a number or an absolute URL")
+    return jobs.filter((F.col(url) == text) | (F.col(canonical) == text))

@@ -51,3 +51,15 @@ def backfill(df: DataFrame, values: dict[str, Column]) -> DataFrame:
 def change_counts(changed: DataFrame) -> DataFrame:
     """field, rows: how often each field was filled."""
     return changed.select(F.explode("changed").alias("field")).groupBy("field").agg(F.count("*").alias("rows"))
+
+
+def keep_where(target: DataFrame, incoming: DataFrame, key: str, column: str, value: Column) -> DataFrame:
+    """``incoming`` with the target's ``column`` where the target has ``value`` there."""
+    kept = target.filter(F.col(column) == value).select(F.col(key).alias("_k"), F.col(column).alias("_kept"))
+    j = incoming.join(kept, F.col(key) == F.col("_k"), "left")
+    return j.select(*[F.coalesce("_kept", column).alias(c) if c == column else F.col(c) for c in incoming.columns])
+
+
+def with_defaults(df: DataFrame, defaults: dict[str, Column]) -> DataFrame:
+    """Nulls replaced by the default of their column, as an insert does."""
+    return df.select(*[F.coalesce(F.col(c), defaults[c]).alias(c) if c in defaults else F.col(c) for c in df.columns])

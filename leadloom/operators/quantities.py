@@ -75,8 +75,11 @@ def converted(text: Column, units: dict[str, Unit], target: Vector) -> Column:
 
 def yearly_usd(df: DataFrame, id_col: str, text_col: str, currencies: DataFrame, periods: DataFrame) -> DataFrame:
     """One row per row of ``df`` that states base pay: id, usd_min, usd_max (whole dollars per year, half up)."""
-    stated = df.filter(F.col(text_col).rlike(r"\d|(?i)hundred|thousand|million")).select(F.col(id_col), converted(F.col(text_col), rate_units(currencies, periods), PAY).alias("_usd"))
-    return stated.filter(F.size("_usd") > 0).select(id_col, F.array_min("_usd").alias("usd_min"), F.array_max("_usd").alias("usd_max"))
+    stated = df.filter(F.col(text_col).rlike(r"\d|(?i)hundred|thousand|million"))
+    usd = converted(F.col(text_col), rate_units(currencies, periods), PAY)
+    # A generator and no filter drops rows without amounts: a filter would be moved below and read the text again.
+    range_ = F.when(F.size(usd) > 0, F.array(F.struct(F.array_min(usd).alias("usd_min"), F.array_max(usd).alias("usd_max"))))
+    return stated.select(id_col, F.inline(range_))
 
 
 _QUANTITY = r"^\s*(?P<n>[-+]?\d+(?:[.,]\d+)?(?:[eE][-+]?\d+)?)\s*(?P<u>\S.*?)\s*$"

@@ -157,7 +157,7 @@ _HAY = "lower(concat_ws(' ', " + ", ".join(f"nullif(regexp_replace({c}, '^\\s+|\
 
 @query(f"SELECT id FROM jobs WHERE contains({_HAY}, 'senior') AND contains({_HAY}, 'data') AND status = 'new'")
 def query_filter(spark: SparkSession, d: str) -> DataFrame:
-    return selection.scan(table(spark, d, "jobs"), status="new", query="the senior job in Data", text_columns=_TEXT).select("id")
+    return selection.scan(table(spark, d, "jobs"), status="new", query="the senior or with Data on", text_columns=_TEXT).select("id")
 
 
 @query("SELECT id FROM jobs WHERE contains(' ' || trim(regexp_replace(lower(coalesce(location, '')), '[^a-z0-9]+', ' ', 'g')) || ' ', ' remote ')")
@@ -186,7 +186,7 @@ def ranked_queue(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT least(count(*), 500) AS selected, greatest(count(*) - 500, 0) AS deferred FROM jobs WHERE status = 'new'")
 def limit_report(spark: SparkSession, d: str) -> DataFrame:
-    return selection.applied_and_deferred(selection.scan(table(spark, d, "jobs"), status="new"), [F.col("id")], 500)
+    return selection.applied_and_deferred(selection.scan(table(spark, d, "jobs"), status="new"), 500)
 
 
 @query("SELECT portal_type, id, row_number() OVER (PARTITION BY portal_type ORDER BY last_verified_at DESC NULLS LAST, id) AS position FROM source_registry QUALIFY position <= 3")
@@ -378,14 +378,14 @@ def registry_domains(spark: SparkSession, d: str) -> DataFrame:
 _WORDS = ("trim(regexp_replace(regexp_replace(replace(lower(company), '&', ' and '), '[''’\"]', '', 'g'), '[^a-z0-9]+', ' ', 'g'))")
 
 
-@query(f"WITH w AS (SELECT id, regexp_replace(regexp_replace({_WORDS}, '^the(\\s+|$)', ''), '((^|\\s+)({'|'.join(text.LEGAL_SUFFIXES)}))+$', '') AS w FROM source_registry WHERE company IS NOT NULL) "
+@query(f"WITH w AS (SELECT id, regexp_replace(regexp_replace({_WORDS}, '^the(\\s+|$)', ''), '((^|\\s+)(ag|bv|co|company|corp|corporation|gmbh|inc|incorporated|limited|llc|llp|lp|ltd|oy|plc|pte|pty|sa))+$', '') AS w FROM source_registry WHERE company IS NOT NULL) "
        "SELECT id, w AS words, nullif(replace(w, ' ', ''), '') AS key FROM w")
 def company_words(spark: SparkSession, d: str) -> DataFrame:
     c = F.col("company")
     return table(spark, d, "source_registry").filter("company is not null").select("id", F.array_join(text.company_tokens(c), " ").alias("words"), text.company_key(c).alias("key"))
 
 
-@query(f"WITH w AS (SELECT id, regexp_replace(regexp_replace({_WORDS}, '^the(\\s+|$)', ''), '((^|\\s+)({'|'.join(text.LEGAL_SUFFIXES)}))+$', '') AS w FROM source_registry WHERE company IS NOT NULL), "
+@query(f"WITH w AS (SELECT id, regexp_replace(regexp_replace({_WORDS}, '^the(\\s+|$)', ''), '((^|\\s+)(ag|bv|co|company|corp|corporation|gmbh|inc|incorporated|limited|llc|llp|lp|ltd|oy|plc|pte|pty|sa))+$', '') AS w FROM source_registry WHERE company IS NOT NULL), "
        "s AS (SELECT id, list_filter([replace(w, ' ', ''), CASE WHEN contains(w, ' ') THEN replace(w, ' ', '-') END, CASE WHEN contains(w, ' ') THEN split_part(w, ' ', 1) END], lambda x: x IS NOT NULL AND x <> '') AS s FROM w) "
        "SELECT id, unnest(s) AS slug, unnest(range(1, len(s) + 1)) AS position FROM s")
 def slug_candidates(spark: SparkSession, d: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadloom.functions.text import clean_text, one_line
+from leadloom.functions.times import is_strict_iso
 from leadloom.functions.urls import company_domain
 
 REQUIRED = ("source", "company", "title", "location")
@@ -13,8 +14,13 @@ OPTIONAL = ("apply_url", "source_job_id", "portal_type", "salary_text", "posted_
 
 
 def lead_records(spark: SparkSession, path: str) -> DataFrame:
-    """Lead JSON (an array or one object): record_number, the fields, raw_json, error."""
-    whole = spark.read.text(path, wholetext=True).withColumn("v", F.try_parse_json("value"))
+    """Lead JSON files (each an array or one object, read whole): record_number, the fields, raw_json, error."""
+    return lead_rows(spark.read.text(path, wholetext=True))
+
+
+def lead_rows(texts: DataFrame) -> DataFrame:
+    """The records of lead JSON ``texts`` (value), each an array or one object."""
+    whole = texts.withColumn("v", F.try_parse_json("value"))
     is_array = F.schema_of_variant("v").startswith("ARRAY")
     items = F.when(is_array, F.expr("try_cast(v as array<variant>)")).otherwise(F.array("v"))
     each = whole.select(F.posexplode_outer(F.when(F.col("v").isNotNull(), items)).alias("pos", "r"))
@@ -51,7 +57,12 @@ def company_lines(df: DataFrame) -> DataFrame:
 
 def registry_json(spark: SparkSession, path: str) -> DataFrame:
     """Registry JSON: an array of texts or of objects with ``source_url`` or ``url``: source_url, company."""
-    v = spark.read.text(path, wholetext=True).select(F.explode(F.expr("try_cast(try_parse_json(value) as array<variant>)")).alias("r"))
+    return registry_rows(spark.read.text(path, wholetext=True))
+
+
+def registry_rows(texts: DataFrame) -> DataFrame:
+    """The entries of registry JSON ``texts`` (value)."""
+    v = texts.select(F.explode(F.expr("try_cast(try_parse_json(value) as array<variant>)")).alias("r"))
     text = F.when(F.schema_of_variant("r") == "STRING", F.expr("try_cast(r as string)"))
     url = F.coalesce(text, F.try_variant_get("r", "$.source_url", "string"), F.try_variant_get("r", "$.url", "string"))
     return v.select(clean_text(url).alias("source_url"), clean_text(F.try_variant_get("r", "$.company", "string")).alias("company")).filter("source_url is not null")
@@ -60,8 +71,13 @@ def registry_json(spark: SparkSession, path: str) -> DataFrame:
 MANIFEST = "created_at string, label string, item_count int, items array<struct<rank: int, job_id: bigint, company: string, title: string, apply_url: string>>"
 
 
-def manifests(spark: SparkSession, path: str) -> DataFrame:
+def manifests(spark: SparkSession, path: str, one_per_line: bool = False) -> DataFrame:
     """Manifest JSON files with ``problem``: why a manifest is not valid, or null."""
-    df = spark.read.schema(MANIFEST).option("multiLine", True).json(path)
-    iso = F.col("created_at").rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:\d{2})$")
-    return df.withColumn("problem", F.when(~F.coalesce(iso, F.lit(False)), "created_at is no ISO timestamp").when(F.col("item_count") != F.size("items"), "item_count differs from items").when(F.col("items").isNull(), "items missing"))
+    df = spark.read.schema(MANIFEST).option("multiLine", not one_per_line).json(path)
+    iso = is_strict_iso(F.col("created_at"))
+    return df.withColumn("problem", F.when(~iso, "created_at is no ISO timestamp").when(F.col("item_count") != F.size("items"), "item_count differs from items").when(F.col("items").isNull(), "items missing"))
+
+
+def columns_of(df: DataFrame) -> DataFrame:
+    """name of each column of a table."""
+    return df.sparkSession.createDataFrame([(c,) for c in df.columns], "name string")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -26,3 +26,11 @@ def write_version(df: DataFrame, root: str, version: str, partition_by: list[str
     w = df.write.mode("errorifexists")
     (w.partitionBy(*partition_by) if partition_by else w).parquet(out)
     return out
+
+
+def append_once(log: DataFrame, new: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """Records of ``new`` whose key the log lacks, the first of each key in order; ``refused``: whether others of its key were not taken."""
+    columns = [c for c in new.columns if c not in keys]
+    fresh = new.join(log.select(*keys).distinct(), keys, "left_anti")
+    first = fresh.groupBy(*keys).agg(F.min_by(F.struct(*columns), F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])).alias("r"), (F.count("*") > 1).alias("refused"))
+    return first.select(*keys, "r.*", "refused")

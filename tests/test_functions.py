@@ -21,7 +21,7 @@ def test_text(spark):
     assert one(spark, "Acme Data", lambda c: text.slug_candidates(c, F.lit("acme-data"))) == ["acme-data", "acmedata", "acme"]
     assert one(spark, "pg://u:secret@h/d?password=x", text.mask_secrets) == "pg://u:***@h/d?password=***"
     assert one(spark, "a", lambda c: text.merge_lines(c, F.lit(None), F.lit("b"), c)) == "a\nb"
-    assert text.query_terms("The data JOB, in Spark!") == ["data", "spark"]
+    assert text.query_terms("The data JOB, in or with Spark!") == ["data", "job", "spark"]
     assert one(spark, "Click here", text.link_text) is None and one(spark, "acme-data", text.display_name) == "Acme Data"
 
 

@@ -7,7 +7,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from leadloom.plans import problems, queries
+from leadloom.plans import lifecycle, pages, problems, queries  # noqa: F401 - lifecycle and pages add queries
 
 
 def _norm(v):
@@ -24,12 +24,15 @@ def duck(sf):
     return c
 
 
-@pytest.mark.parametrize("name", sorted(queries.S))
+SQL = queries.S | problems.SQL
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_same_rows(spark, sf, duck, name):
-    df = queries.Q[name](spark, sf)
+    df = (queries.Q | problems.QUERIES)[name](spark, sf)
     cols = sorted(df.columns)
     mine = collections.Counter(tuple(_norm(r[x]) for x in cols) for r in df.collect())
-    r = duck.sql(queries.S[name])
+    r = duck.sql(SQL[name])
     assert sorted(r.columns) == cols
     at = [r.columns.index(x) for x in cols]
     assert mine == collections.Counter(tuple(_norm(x[i]) for i in at) for x in r.fetchall())
