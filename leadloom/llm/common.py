@@ -7,6 +7,7 @@ import unicodedata
 from functools import lru_cache
 
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +18,8 @@ from leadloom.runtime import durable
 HOT = 1 / 500
 #: Slack of bounds computed in floating point, so that no pair on the threshold is lost.
 EPSILON = 1e-9
+#: Letters from which words meet by segments instead of deletions, which would be too many.
+LONG_WORD = 40
 
 
 @lru_cache(maxsize=65536)
@@ -40,10 +43,15 @@ def fold_words(texts: pd.Series) -> pd.Series:
     return pd.Series([list(words_of(t)) if t is not None else None for t in texts], dtype=object)
 
 
-def bigrams(word: Column) -> Column:
-    """Distinct padded letter pairs of a word."""
-    padded = F.concat(F.lit("^"), word, F.lit("$"))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - 1), lambda i: F.substring(padded, i, F.lit(2))))
+def pair_jaccard(a: str, b: str) -> float:
+    """Share of the padded letter pairs of two words that both have."""
+    x, y = ({w[i : i + 2] for i in range(len(w) - 1)} for w in (f"^{a}$", f"^{b}$"))
+    return len(x & y) / len(x | y)
+
+
+@F.pandas_udf(T.DoubleType())
+def _pair_jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([pair_jaccard(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
 
 
 def close_spelling(a: Column, b: Column) -> Column:
@@ -53,36 +61,57 @@ def close_spelling(a: Column, b: Column) -> Column:
     return (distance.between(0, 1)) | ((distance == 2) & (same_letters | (F.least(F.length(a), F.length(b)) >= 8)))
 
 
-def similar_words(left: DataFrame, right: DataFrame, min_jaccard: float, max_gap: int | None = None) -> DataFrame:
-    """Prefix-filter set-similarity join of words by their letter pairs.
+def deletions(word: str, most: int) -> set[str]:
+    """The word with up to ``most`` letters left out. Words within as many edits (swaps count once) share one of them."""
+    out = last = {word}
+    for _ in range(most):
+        last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
+        out = out | last
+    return out
+
+
+def segments(word: str, indexed: bool) -> set[str]:
+    """For words of about ``LONG_WORD`` letters or more: of five parts two edits leave one as it is, at its place but for two letters, even if they are swaps across a border."""
+    out = set()
+    if len(word) >= LONG_WORD - 2:
+        for length in (len(word),) if indexed else range(len(word) - 2, len(word) + 3):
+            cuts = [length * i // 5 for i in range(6)]
+            for i in range(5):
+                for at in (cuts[i],) if indexed else range(max(0, cuts[i] - 2), cuts[i] + 3):
+                    out.add(f"part:{length}:{i}:{word[at : at + cuts[i + 1] - cuts[i]]}")
+    return out
+
+
+def hashes(texts: set[str]) -> list[int]:
+    """64-bit integers of texts."""
+    return [xxhash.xxh64_intdigest(x) - (1 << 63) for x in texts]
+
+
+def beginnings(text: str, least: int) -> list[int]:
+    """The integers of every proper beginning of ``least`` letters or more, in one pass."""
+    state, out = xxhash.xxh64(text[: least - 1].encode()), []
+    for c in text[least - 1 : -1]:
+        state.update(c.encode())
+        out.append(state.intdigest() - (1 << 63))
+    return out
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _near(words: pd.Series, indexed: pd.Series) -> pd.Series:
+    return pd.Series([hashes((deletions(w, 2) if len(w) < LONG_WORD + 2 else set()) | segments(w, i)) for w, i in zip(words, indexed, strict=True)], dtype=object)
+
 
-    ``left``: word. ``right``: lexeme. Both distinct. Pairs are ordered by global
-    rarity, only the rare prefix of each set is joined, the length and positional
-    filters drop what can't reach ``min_jaccard``, and the Jaccard value is then
-    verified exactly. Every pair that reaches it comes out; ``max_gap`` leaves out pairs
-    whose lengths differ by more, for callers that allow so few edits anyway.
+def close_words(left: DataFrame, right: DataFrame) -> DataFrame:
+    """word, lexeme, jaccard (of their letter pairs): every pair that is equal or a :func:`close_spelling`.
 
-    Rows: word, lexeme, jaccard.
+    ``left``: word. ``right``: lexeme. Both distinct. Words within two edits share a
+    deletion of at most two letters (long ones a segment), so one equi-join on hashes of
+    those finds all of them; no key is common to many words, as letter pairs are.
     """
-    t = float(min_jaccard)
-    sets = left.select(F.lit(0).alias("side"), F.col("word").alias("w"), bigrams(F.col("word")).alias("g")).unionByName(
-        right.select(F.lit(1).alias("side"), F.col("lexeme").alias("w"), bigrams(F.col("lexeme")).alias("g"))
-    )
-    rarity = sets.select(F.explode("g").alias("t")).groupBy("t").agg(F.count("*").alias("df"))
-    ranked = sets.select("side", "w", F.explode("g").alias("t")).join(rarity, "t").groupBy("side", "w").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("r"))
-    ranked = ranked.select("side", "w", F.transform("r", lambda x: x["t"]).alias("g"), F.size("r").alias("n"))
-    prefix = F.col("n") - F.ceil(F.col("n") * t - EPSILON).cast("int") + 1
-    posts = ranked.select("side", "w", "g", "n", F.posexplode(F.slice("g", F.lit(1), F.greatest(prefix, F.lit(1)))).alias("pos", "t"))
-    a = posts.filter("side = 0").select(F.col("w").alias("word"), F.col("g").alias("ga"), F.col("n").alias("na"), F.col("pos").alias("pa"), "t")
-    b = posts.filter("side = 1").select(F.col("w").alias("lexeme"), F.col("g").alias("gb"), F.col("n").alias("nb"), F.col("pos").alias("pb"), "t")
-    need = F.ceil((F.col("na") + F.col("nb")) * (t / (1 + t)) - EPSILON)
-    fits = (F.col("na") >= F.col("nb") * t - EPSILON) & (F.col("nb") >= F.col("na") * t - EPSILON) & (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + F.least("pa", "pb") >= need)
-    if max_gap is not None:
-        fits = fits & (F.abs(F.length("word") - F.length("lexeme")) <= max_gap)
-    pairs = a.join(b, "t").filter(fits)
-    shared = F.size(F.array_intersect("ga", "gb"))
-    scored = pairs.withColumn("jaccard", shared / (F.col("na") + F.col("nb") - shared)).filter(F.col("jaccard") >= t - EPSILON)
-    return scored.groupBy("word", "lexeme").agg(F.max("jaccard").alias("jaccard"))
+    a = left.select("word", F.explode(_near("word", F.lit(False))).alias("s"))
+    b = right.select("lexeme", F.explode(_near("lexeme", F.lit(True))).alias("s"))
+    pairs = a.join(b, "s").select("word", "lexeme").distinct().filter((F.col("word") == F.col("lexeme")) | close_spelling(F.col("word"), F.col("lexeme")))
+    return pairs.select("word", "lexeme", _pair_jaccard("word", "lexeme").alias("jaccard"))
 
 
 def encode_join(rows: DataFrame, key: str, dictionary: DataFrame, n_col: str, total: int) -> DataFrame:

@@ -1,13 +1,14 @@
 """Free-entered values to entries of a reference list.
 
-Two prefix-filter set-similarity joins, both over distinct values only:
+Over distinct values only:
 
 1. each distinct word is linked to the words of the list and of its alias tables by
-   letter pairs (:func:`leadloom.llm.common.similar_words`), so typos disappear;
-2. each value, now a set of list words, is joined to the entries through the rarest
-   word of an entry. All words of an entry have to be in the value, so this prefix of
-   length one loses nothing; length and containment are verified exactly and the best
-   Jaccard value is kept.
+   their deletions of up to two letters (:func:`leadloom.llm.common.close_words`), so typos
+   disappear;
+2. a prefix-filter set-similarity join: each value, now a set of list words, is joined to
+   the entries through the rarest word of an entry. All words of an entry have to be in the
+   value, so this prefix of length one loses nothing; length and containment are verified
+   exactly and the best Jaccard value is kept.
 
 What is left is choice between entries of the same name by the region or country the
 value states.
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leadloom.llm.common import close_spelling, fold_words, similar_words
+from leadloom.llm.common import EPSILON, close_spelling, close_words, fold_words
 from leadloom.runtime import bounded_rows, durable
 
 #: US states, code and name.
@@ -68,7 +69,8 @@ TITLE_ALIASES = {
 TITLE_NOISE = "team req all genders m w d f x full time part urgent permanent contract onsite hybrid remote and of the or for"
 
 _MATCH = T.ArrayType(T.IntegerType())
-MIN_JACCARD = 0.25
+#: Least share of letter pairs of a word and the list word it spells, and of two spellings of a word no list has.
+MIN_JACCARD, SETTLED_JACCARD = 0.25, 0.4
 #: Most remote entries, one per country; a longer list raises.
 MOST_REMOTE = 300
 
@@ -77,7 +79,7 @@ def spelled(spark: SparkSession, words: DataFrame, lexicon: list[str] | DataFram
     """word, lexeme: the word of the lexicon each observed word spells; words without one are missing. ``exact_only``: codes that no typo may give."""
     if isinstance(lexicon, list):
         lexicon = spark.createDataFrame([(w,) for w in sorted(set(lexicon))], "lexeme string")
-    pairs = similar_words(words.distinct(), lexicon.distinct(), MIN_JACCARD, max_gap=2)
+    pairs = close_words(words.distinct(), lexicon.distinct()).filter(F.col("jaccard") >= MIN_JACCARD - EPSILON)
     same = F.col("word") == F.col("lexeme")
     typo = close_spelling(F.col("word"), F.col("lexeme")) & (F.length("word") >= 3) & (F.length("lexeme") >= 3)
     typo &= (F.length("lexeme") >= 4) | (F.substring("word", 1, 1) == F.substring("lexeme", 1, 1))
@@ -125,8 +127,7 @@ def settle_spellings(words: DataFrame, ratio: int = 8) -> DataFrame:
     counts = durable(words.groupBy("word").agg(F.sum("n").alias("n")).filter(F.length("word") >= 4))
     if counts.limit(1).count() == 0:
         return counts.select("word", F.col("word").alias("settled"))
-    pairs = similar_words(counts.select("word"), counts.select(F.col("word").alias("lexeme")), 0.4, max_gap=2).filter(F.col("word") != F.col("lexeme"))
-    pairs = pairs.filter(close_spelling(F.col("word"), F.col("lexeme")))
+    pairs = close_words(counts.select("word"), counts.select(F.col("word").alias("lexeme"))).filter((F.col("word") != F.col("lexeme")) & (F.col("jaccard") >= SETTLED_JACCARD - EPSILON))
     pairs = pairs.join(counts, "word").join(counts.select(F.col("word").alias("lexeme"), F.col("n").alias("m")), "lexeme").filter(F.col("m") >= F.col("n") * ratio)
     return pairs.groupBy("word").agg(F.max_by("lexeme", F.struct("m", "jaccard", "lexeme")).alias("settled"))
 

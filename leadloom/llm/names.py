@@ -11,11 +11,14 @@ other form pays ``OTHER_TENANT_COST``. A pair whose tenant no other form can out
 bound over the frequencies of all forms, needs no other candidates; its posterior is given
 as 1.
 
-Candidates come from equi-joins: same letters, rarest words by a set-similarity join of
-letter pairs, truncations, initials. Each is scored by the channel. Hot spellings cost one
-row because only distinct pairs are handled. The joins are tighter than the channel, so
-the few spellings they leave without a form of a tenant that keeps their first word
-(``FIRST_LOST``) are scored by the channel against every such form.
+Candidates come from equi-joins that give every form the channel could prefer: the
+same letters; tenants seen with the same letters; words that the channel can turn into the
+form's first word or one of its rarest (:func:`word_links`); a part of the whole name that
+is as it was, which the channel asks of names written as one word; names cut off; initials. So a form that
+keeps its first word, or is cheaper than ``FIRST_LOST``, is never missed. Tenants and
+spellings typed ``NOVEL_LEAST`` times or more are forms others can be linked to. Pairs of
+spelling and form are scored as rows and chosen by aggregates, so no list of candidates is
+built, and hot spellings cost one row because only distinct pairs are handled.
 
 Defined results: null and blank names without a tenant stay without an organisation; a
 name nobody else spells is its own canonical form; ties go to the more frequent, then the
@@ -34,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leadloom.llm.common import close_spelling, fold, similar_words, words_of
+from leadloom.llm.common import LONG_WORD, beginnings, deletions, fold, hashes, segments, words_of
 from leadloom.operators.moments import let
 from leadloom.runtime import durable
 
@@ -58,10 +61,12 @@ NOVEL_COST = 3.0
 OTHER_TENANT_COST = 14.0
 #: Least cost of a spelling, and weight of the share of a spelling's rows that a tenant has.
 SAME_COST, VOTE_WEIGHT = 0.1, 20.0
-#: Cost of a name without its first word. Forms that share only later, common words are reached by the joins alone.
+#: Cost of a name without its first word.
 FIRST_LOST = 8.0
 #: Most typos of a name written as one word.
 MOST_EDITS = 3
+#: Rows from which a spelling no tenant has is a form that others can be linked to.
+NOVEL_LEAST = 8
 
 _WORDS = T.StructType([T.StructField("words", T.ArrayType(T.StringType())), T.StructField("squash", T.StringType())])
 
@@ -138,19 +143,26 @@ def _edits(a: str, b: str, most: int) -> int:
     # An edit changes the set of letters by two at most.
     if abs(len(a) - len(b)) > most or len(set(a) ^ set(b)) > 2 * most:
         return most + 1
-    before, row = None, list(range(len(b) + 1))
+    # Only cells within ``most`` of the diagonal can count.
+    far = most + 1
+    before: dict[int, int] = {}
+    row = {j: j for j in range(min(len(b), most) + 1)}
     for i, x in enumerate(a, 1):
-        last, before_row = row, before
-        row = [i]
-        for j, y in enumerate(b, 1):
-            d = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y))
-            if before_row is not None and i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                d = min(d, before_row[j - 2] + 1)
-            row.append(d)
-        if min(row) > most:
-            return most + 1
+        last, row, at_least = row, {}, far
+        for j in range(max(0, i - most), min(len(b), i + most) + 1):
+            if j == 0:
+                d = i
+            else:
+                y = b[j - 1]
+                d = min(last.get(j, far) + 1, row.get(j - 1, far) + 1, last.get(j - 1, far) + (x != y))
+                if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                    d = min(d, before.get(j - 2, far) + 1)
+            row[j] = d
+            at_least = min(at_least, d)
+        if at_least > most:
+            return far
         before = last
-    return row[-1]
+    return min(row.get(len(b), far), far)
 
 
 @lru_cache(maxsize=262144)
@@ -160,16 +172,44 @@ def _word_cost(seen: str, true: str) -> float:
         return 0.0
     if SHORT.get(seen) == true or (len(seen) >= 3 and len(true) > len(seen) + 1 and true.startswith(seen)):
         return 1.0
-    most = 1 if len(true) < 6 else 2 if len(true) < 12 else 3
+    most = 1 if len(true) < 6 else 2
     d = _edits(seen, true, most)
     if d <= most:
         return 2.0 * d + 0.5
     short = [(k, v) for k, v in SHORT.items() if v == true]
-    if any(_edits(seen, k, 1) <= 1 and len(seen) >= 3 for k, _ in short) or (len(seen) >= 4 and len(true) > len(seen) and _edits(seen, true[: len(seen)], 1) <= 1):
+    if any(_edits(seen, k, 1) <= 1 and len(seen) >= 3 for k, _ in short) or (4 <= len(seen) < LONG_WORD and len(true) > len(seen) and _edits(seen, true[: len(seen)], 1) <= 1):
         return 4.0
     return math.inf
 
 
+def _parts(length: int) -> tuple[int, list[tuple[int, int]]]:
+    """Most typos of a whole name of so many letters, and its parts (one more than typos): start and end."""
+    most = MOST_EDITS if length > 12 else 2
+    cuts = [length * i // (most + 1) for i in range(most + 2)]
+    return most, list(zip(cuts, cuts[1:], strict=False))
+
+
+def _whole_edits(a: str, b: str) -> int | None:
+    """Edits between whole names; null if there are too many or none of the parts of ``b`` stands in ``a`` about where it belongs."""
+    most, parts = _parts(len(b))
+    if abs(len(a) - len(b)) > most or not any(b[i:j] == a[k : k + j - i] for i, j in parts for k in range(max(0, i - most), i + most + 1)):
+        return None
+    d = _edits(a, b, most)
+    return d if d <= most else None
+
+
+def whole_signatures(name: str, true: bool) -> set[str]:
+    """Texts by which a typed name and a form meet wherever :func:`_whole_edits` is not null."""
+    if true:
+        return {f"{len(name)}:{n}:{name[i:j]}" for n, (i, j) in enumerate(_parts(len(name))[1])}
+    out = set()
+    for length in range(max(1, len(name) - MOST_EDITS), len(name) + MOST_EDITS + 1):
+        most, parts = _parts(length)
+        if abs(length - len(name)) <= most:
+            out |= {f"{length}:{n}:{name[k : k + j - i]}" for n, (i, j) in enumerate(parts) for k in range(max(0, i - most), i + most + 1)}
+    return out
+
+
 def channel_cost(seen: tuple[str, ...], true: tuple[str, ...]) -> float:
     """Negative log likelihood of the typed words given the canonical ones."""
     a, b = "".join(seen), "".join(true)
@@ -177,8 +217,7 @@ def channel_cost(seen: tuple[str, ...], true: tuple[str, ...]) -> float:
         return SAME_COST
     best = 14.0
     if len(seen) <= 2:
-        most = MOST_EDITS if len(b) > 12 else 2
-        if (d := _edits(a, b, most)) <= most:
+        if (d := _whole_edits(a, b)) is not None:
             best = min(best, 1.0 + 2.0 * d)
         if 4 <= len(a) < len(b) and b.startswith(a):
             best = min(best, 5.0 if a != true[0] else 2.6)
@@ -200,46 +239,68 @@ def channel_cost(seen: tuple[str, ...], true: tuple[str, ...]) -> float:
     return min(best, cost) if order else best
 
 
-_FOUND = T.StructType([T.StructField("key", T.StringType()), T.StructField("posterior", T.DoubleType())])
+@F.pandas_udf(T.DoubleType())
+def _cost(words: pd.Series, true: pd.Series) -> pd.Series:
+    return pd.Series([channel_cost(tuple(w), tuple(t)) for w, t in zip(words, true, strict=True)], dtype=float)
 
 
-def _attach(words: list[str], tenant_key: str | None, votes: dict[str, float], candidates: list) -> tuple[str, float]:
-    seen = tuple(words)
-    scored: dict[str, float] = {}
-    for c in candidates:
-        key, true = c["key"], tuple(c["words"])
-        loglike = -channel_cost(seen, true) if seen else 0.0
-        if tenant_key is not None:
-            loglike += 0.0 if tenant_key == key else -OTHER_TENANT_COST
-        loglike += math.log1p(VOTE_WEIGHT * votes.get(key, 0.0))
-        scored[key] = max(scored.get(key, -math.inf), math.log(c["freq"] + 0.5) + loglike - (0.0 if c["known"] else NOVEL_COST))
-    top = max(scored.values())
-    total = sum(math.exp(v - top) for v in scored.values())
-    key = min((k for k, v in scored.items() if v >= top - 1e-9))
-    return key, 1.0 / total
+def signatures(word: str, true: bool) -> set[int]:
+    """Integers by which a typed word and a word of a form meet wherever :func:`_word_cost` is finite.
 
+    A typed word gives its deletions; a form's word those of itself, of its beginnings and of
+    its abbreviations. Words of ``LONG_WORD`` letters or more have too many deletions and meet by
+    :func:`leadloom.llm.common.segments`, their beginnings as they are.
+    """
+    most = 2 if len(word) >= (6 if true else 4) else 1
+    out = segments(word, true)
+    if len(word) < LONG_WORD + 2:
+        out |= deletions(word, most)
+    if not true:
+        return {*hashes(out | {word})}
+    for n in range(3, min(len(word), LONG_WORD)):
+        out |= deletions(word[:n], 1 if n >= 4 else 0)
+    for short, full in SHORT.items():
+        if full == word:
+            out |= deletions(short, 1)
+    return {*hashes(out), *(beginnings(word, LONG_WORD) if len(word) > LONG_WORD else ())}
 
-@F.pandas_udf(_FOUND)
-def _attribute(words: pd.Series, tenants: pd.Series, candidates: pd.Series) -> pd.DataFrame:
-    out = []
-    for w, t, cs in zip(words, tenants, candidates, strict=True):
-        cs = [] if cs is None else list(cs)
-        votes: dict[str, float] = {}
-        for c in cs:
-            votes[c["key"]] = max(votes.get(c["key"], 0.0), c["vote"])
-        out.append(_attach(list(w), t, votes, cs) if cs else (t or "".join(w) or None, 0.0))
-    return pd.DataFrame(out, columns=["key", "posterior"])
 
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _signatures(words: pd.Series, true: pd.Series) -> pd.Series:
+    return pd.Series([list(signatures(w, t)) for w, t in zip(words, true, strict=True)], dtype=object)
 
-@F.pandas_udf(T.DoubleType())
-def _cost(words: pd.Series, true: pd.Series) -> pd.Series:
-    return pd.Series([channel_cost(tuple(w), tuple(t)) for w, t in zip(words, true, strict=True)], dtype=float)
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _whole_signatures(names: pd.Series, true: pd.Series) -> pd.Series:
+    return pd.Series([hashes(whole_signatures(x, t)) for x, t in zip(names, true, strict=True)], dtype=object)
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _beginnings(names: pd.Series) -> pd.Series:
+    return pd.Series([beginnings(x, 4) for x in names], dtype=object)
+
+
+@F.pandas_udf(T.LongType())
+def _hash(names: pd.Series) -> pd.Series:
+    return pd.Series([hashes({x})[0] for x in names], dtype="int64")
+
+
+@F.pandas_udf(T.BooleanType())
+def _whole_related(seen: pd.Series, true: pd.Series) -> pd.Series:
+    return pd.Series([_whole_edits(a, b) is not None for a, b in zip(seen, true, strict=True)], dtype=bool)
 
 
 @F.pandas_udf(T.BooleanType())
-def _unreached(words: pd.Series, candidates: pd.Series) -> pd.Series:
-    """Whether no candidate that a tenant writes keeps the first word."""
-    return pd.Series([not any(c["known"] and channel_cost(tuple(w), tuple(c["words"])) < FIRST_LOST for c in cs) for w, cs in zip(words, candidates, strict=True)], dtype=bool)
+def _related(seen: pd.Series, true: pd.Series) -> pd.Series:
+    return pd.Series([_word_cost(s, t) < math.inf for s, t in zip(seen, true, strict=True)], dtype=bool)
+
+
+def word_links(words: DataFrame, lexemes: DataFrame) -> DataFrame:
+    """word, lexeme: every pair of a typed word (``words``: word) and a form's word (``lexemes``: lexeme) the channel relates, by one equi-join on signatures and an exact check."""
+    a = words.distinct().select("word", F.explode(_signatures("word", F.lit(False))).alias("s"))
+    b = lexemes.distinct().select("lexeme", F.explode(_signatures("lexeme", F.lit(True))).alias("s"))
+    # Not deterministic to Catalyst, which would move the check below the distinct.
+    return a.join(b, "s").select("word", "lexeme").distinct().filter(_related.asNondeterministic()("word", "lexeme"))
 
 
 @F.pandas_udf(T.BooleanType())
@@ -276,55 +337,54 @@ def attribute(spellings: DataFrame) -> DataFrame:
     share = both.groupBy("squash").agg(F.sum("n").alias("total"))
     votes = durable(both.join(share, "squash").select("squash", F.col("tenant").alias("key"), (F.col("n") / F.col("total")).alias("vote")))
 
-    zero = F.lit(0.0).alias("vote")
     weight = forms.agg(F.sum(F.col("freq") + 0.5)).first()[0] or 1.0
     owned = pairs.filter("tenant is not null").join(forms.select(F.col("key").alias("tenant"), F.col("words").alias("own"), "freq"), "tenant")
-    owned = owned.withColumn("open", _open("words", "own", "freq", F.lit(weight)))
-    alone = F.array(F.struct(F.col("tenant").alias("key"), F.col("own").alias("words"), "freq", zero, F.lit(True).alias("known")))
-    owned = durable(owned.select("name", "tenant", "words", "squash", "open", alone.alias("candidates")))
-    free = pairs.filter("tenant is null and squash is not null").select("name", "tenant", "words", "squash", F.lit(None).cast(owned.schema["candidates"].dataType).alias("more"))
-    free = free.unionByName(owned.filter("open").select("name", "tenant", "words", "squash", F.col("candidates").alias("more")))
+    owned = durable(owned.withColumn("open", _open("words", "own", "freq", F.lit(weight))).select("name", "tenant", "words", "squash", "own", "freq", "open"))
+    free = pairs.filter("tenant is null and squash is not null").select("name", "squash", "words")
     # From here on a loose spelling is its integer ``lid``, so long names are not copied per word.
-    loose = free.groupBy("squash").agg(F.max("words").alias("words"))
+    loose = free.select("squash", "words").unionByName(owned.filter("open").select("squash", "words")).groupBy("squash").agg(F.max("words").alias("words"))
     loose = durable(loose.withColumn("lid", F.monotonically_increasing_id()))
+    scored = durable(_scored(loose, forms, votes))
+
+    score, best = F.col("score"), F.struct(-F.round("score", 9), "key")
+    chosen = (F.min_by("key", best).alias("org"), (F.exp(F.max(score)) / F.sum(F.exp(score))).alias("posterior"))
+    by_spelling = scored.groupBy("squash").agg(*chosen)
+    loose_rows = free.select("name", "squash").join(by_spelling, "squash").select("name", F.lit(None).cast("string").alias("tenant"), "org", "posterior")
+    other = owned.filter("open").select("name", "tenant", "squash").join(scored, "squash")
+    other = other.select("name", "tenant", "key", (score - F.when(F.col("key") == F.col("tenant"), 0.0).otherwise(OTHER_TENANT_COST)).alias("score"))
+    own = owned.filter("open").select("name", "tenant", F.col("tenant").alias("key"), (F.log(F.col("freq") + 0.5) - _cost("words", "own")).alias("score"))
+    open_rows = other.unionByName(own).groupBy("name", "tenant", "key").agg(F.max("score").alias("score")).groupBy("name", "tenant").agg(*chosen)
+    sure = owned.filter("not open").select("name", "tenant", F.col("tenant").alias("org"), F.lit(1.0).alias("posterior"))
+    return durable(sure.unionByName(loose_rows).unionByName(open_rows))
+
+
+def _scored(loose: DataFrame, forms: DataFrame, votes: DataFrame) -> DataFrame:
+    """squash, key, score (log posterior but for a constant) of every loose spelling (lid, squash, words) with every form it can be."""
+    zero = F.lit(0.0).alias("vote")
     same = loose.select("lid", F.col("squash").alias("key"), zero)
     voted = votes.join(loose.select("lid", "squash"), "squash").select("lid", "key", "vote")
-
-    known = forms.filter("known")
-    # Rarest words of the known forms, with every other word that is about as rare.
-    posts = known.select("key", F.explode("words").alias("lexeme"))
+    anchors = forms.filter(F.col("known") | (F.col("freq") >= NOVEL_LEAST)).select("key", "words")
+    # The rarest words of a form, with every other word that is about as rare, and its first one.
+    posts = anchors.select("key", F.posexplode("words").alias("pos", "lexeme"))
     df = posts.groupBy("lexeme").agg(F.countDistinct("key").alias("df"))
     ranked = posts.join(df, "lexeme")
     least = ranked.groupBy("key").agg(F.min("df").alias("least"))
-    index = durable(ranked.join(least, "key").filter(F.col("df") <= 4 * F.col("least")).select("key", "lexeme").distinct())
-    typed_words = loose.select(F.explode("words").alias("word")).distinct()
-    lexemes = index.select("lexeme").distinct()
-    near = similar_words(typed_words.filter(F.length("word") >= 4), lexemes.filter(F.length("lexeme") >= 4), 0.3).filter(
-        close_spelling(F.col("word"), F.col("lexeme")) | (F.col("jaccard") >= 0.5)
-    )
-    near = near.select("word", "lexeme").unionByName(typed_words.select("word", F.col("word").alias("lexeme"))).distinct()
-    by_word = loose.select("lid", F.explode("words").alias("word")).join(near, "word").join(index, "lexeme").select("lid", "key", zero)
-    longest = (known.agg(F.max(F.length("key"))).first()[0] or 0) + MOST_EDITS
-    long = loose.filter((F.size("words") <= 2) & F.length("squash").between(8, longest)).select("lid", F.col("squash").alias("word"))
-    by_letters = similar_words(long.select("word"), known.select(F.col("key").alias("lexeme")).filter(F.length("lexeme") >= 8), 0.6, max_gap=MOST_EDITS)
-    by_letters = by_letters.join(long, "word").select("lid", F.col("lexeme").alias("key"), zero)
-    cut = known.select("key", F.explode(F.sequence(F.lit(4), F.lit(12))).alias("k")).filter(F.length("key") > F.col("k")).select("key", F.expr("substring(key, 1, k)").alias("squash"))
-    by_cut = loose.filter(F.size("words") == 1).select("lid", "squash").join(cut, "squash").select("lid", "key", zero)
-    first = known.filter(F.size("words") >= 2).select("key", F.array_join(F.transform("words", lambda w: F.substring(w, 1, 1)), "").alias("squash"))
-    by_initials = loose.filter(F.length("squash").between(2, 6)).select("lid", "squash").join(first, "squash").select("lid", "key", zero)
-
-    found = same.unionByName(voted).unionByName(by_word).unionByName(by_letters).unionByName(by_cut).unionByName(by_initials)
-    found = found.groupBy("lid", "key").agg(F.max("vote").alias("vote")).join(forms.select("key", F.col("words").alias("true"), "freq", "known"), "key")
-    per_loose = found.groupBy("lid").agg(F.collect_list(F.struct("key", F.col("true").alias("words"), "freq", "vote", "known")).alias("candidates"))
-    per_loose = durable(loose.join(per_loose, "lid").withColumn("unreached", _unreached("words", "candidates")))
-    # The exact way for the spellings the joins did not serve.
-    rest = per_loose.filter("unreached").select("lid", "words").crossJoin(known.select("key", F.col("words").alias("true"), "freq"))
-    rest = rest.filter(_cost("words", "true") < FIRST_LOST).groupBy("lid").agg(F.collect_list(F.struct("key", F.col("true").alias("words"), "freq", zero, F.lit(True).alias("known"))).alias("rest"))
-    per_loose = per_loose.join(rest, "lid", "left").select("squash", F.concat("candidates", F.coalesce("rest", F.array().cast(owned.schema["candidates"].dataType))).alias("candidates"))
-    none = F.array().cast(owned.schema["candidates"].dataType)
-    without = free.join(per_loose, "squash", "left").withColumn("candidates", F.concat(F.coalesce("candidates", none), F.coalesce("more", none)))
-    every = owned.filter("not open").select("name", "tenant", "words", "candidates").unionByName(without.select("name", "tenant", "words", "candidates"))
-    return durable(every.withColumn("a", _attribute("words", "tenant", "candidates")).select("name", "tenant", F.col("a.key").alias("org"), "a.posterior"))
+    index = durable(ranked.join(least, "key").filter((F.col("pos") == 0) | (F.col("df") <= 4 * F.col("least"))).select("key", "lexeme").distinct())
+    typed = loose.select("lid", F.explode("words").alias("word"))
+    by_word = typed.join(word_links(typed.select("word"), index.select("lexeme")), "word").join(index, "lexeme").select("lid", "key", zero)
+    short = loose.filter(F.size("words") <= 2).select("lid", "squash")
+    parts = short.select("squash", F.explode(_whole_signatures("squash", F.lit(False))).alias("s"))
+    wholes = anchors.select("key", F.explode(_whole_signatures("key", F.lit(True))).alias("s"))
+    by_letters = parts.join(wholes, "s").select("squash", "key").distinct().filter(_whole_related.asNondeterministic()("squash", "key"))
+    cut = anchors.filter(F.length("key") > 4).select("key", F.explode(_beginnings("key")).alias("s"))
+    cut = short.select("squash", _hash("squash").alias("s")).join(cut, "s").filter(F.startswith("key", "squash")).select("squash", "key")
+    first = anchors.filter(F.size("words") >= 2).select(F.array_join(F.transform("words", lambda w: F.substring(w, 1, 1)), "").alias("squash"), "key")
+    by_name = by_letters.unionByName(cut).join(short, "squash").select("lid", "key", zero)
+    by_initials = first.join(loose.select("lid", "squash"), "squash").select("lid", "key", zero)
+    found = same.unionByName(voted).unionByName(by_word).unionByName(by_name).unionByName(by_initials)
+    found = found.groupBy("lid", "key").agg(F.max("vote").alias("vote")).join(forms.select("key", F.col("words").alias("true"), "freq", "known"), "key").join(loose, "lid")
+    score = F.log(F.col("freq") + 0.5) - _cost("words", "true") + F.log1p(VOTE_WEIGHT * F.col("vote")) - F.when(F.col("known"), 0.0).otherwise(NOVEL_COST)
+    return found.select("squash", "key", score.alias("score"))
 
 
 def with_tenants(rows: DataFrame, name: str, job_id: str, url: str, keep: tuple[str, ...] = ()) -> DataFrame:

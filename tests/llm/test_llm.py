@@ -22,19 +22,29 @@ def rows(df):
 # --- shared joins -----------------------------------------------------------------
 
 
-def test_similar_words_against_brute_force(spark):
+def test_close_words_against_brute_force(spark):
     rng = random.Random(3)
-    words = sorted({"".join(rng.choice("abcd") for _ in range(rng.randint(1, 7))) for _ in range(90)})
+    words = sorted({"".join(rng.choice("abcd") for _ in range(rng.randint(1, 11))) for _ in range(160)} | {"q" * n + "abcdefgh" * 6 + e for n in (0, 1, 2, 3) for e in ("", "x", "ba", "xyz")} | {"ab" * 700 + "x", "ab" * 700 + "xy", "ab" * 700})
     left, right = words[::2], words[1::2]
-    got = {(r["word"], r["lexeme"]): r["jaccard"] for r in common.similar_words(spark.createDataFrame([(w,) for w in left], "word string"), spark.createDataFrame([(w,) for w in right], "lexeme string"), 0.4).collect()}
+    got = {(r["word"], r["lexeme"]) for r in common.close_words(spark.createDataFrame([(w,) for w in left], "word string"), spark.createDataFrame([(w,) for w in right], "lexeme string")).collect()}
 
-    def grams(w):
-        p = f"^{w}$"
-        return {p[i : i + 2] for i in range(len(p) - 1)}
+    def distance(a, b):
+        if abs(len(a) - len(b)) > 2 or (min(len(a), len(b)) > 100 and a[:100] != b[:100]):
+            return 9
+        if min(len(a), len(b)) > 100:
+            return 0 if a == b else 1 if abs(len(a) - len(b)) == 1 else 2
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
 
-    want = {(a, b): len(grams(a) & grams(b)) / len(grams(a) | grams(b)) for a, b in itertools.product(left, right)}
-    want = {k: v for k, v in want.items() if v >= 0.4}
-    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+    def close(a, b):
+        d = distance(a, b)
+        return d <= 1 or (d == 2 and (sorted(a) == sorted(b) or min(len(a), len(b)) >= 8))
+
+    assert got == {(a, b) for a, b in itertools.product(left, right) if close(a, b)} and got
 
 
 def test_encode_join_with_a_hot_key(spark):
@@ -319,6 +329,42 @@ def test_a_tenant_is_one_observation_among_others(spark):
     assert {k: v[0] for k, v in got.items() if k[0] != "Korangast Mobility"} == {("K.M.", "korangastmobility"): "korangastmobility", (None, "jobs"): "jobs", ("Korangast Mobilty", None): "korangastmobility"}
 
 
+def test_candidates_of_the_channel_against_brute_force(spark):
+    """Every pair of words or of whole names the channel relates comes out of the joins."""
+    rng = random.Random(8)
+    stems = ["".join(rng.choice("abcde") for _ in range(rng.randint(2, 16))) for _ in range(40)] + ["manufacturing", "international", "z" * 45 + "abcdefgh" * 3]
+
+    def typo(w):
+        w = list(w)
+        for _ in range(rng.randint(0, 3)):
+            i = rng.randrange(len(w) + 1)
+            w[i : i + 2] = rng.choice([w[i : i + 2][::-1], w[i + 1 : i + 2], ["e", *w[i : i + 2]], ["d", *w[i + 1 : i + 2]]])
+        return "".join(w)[: rng.choice([99, 99, 4, 44])] or "a"
+
+    seen = sorted({typo(rng.choice(stems)) for _ in range(250)} | {"mfg", "mgf", "intl"})
+    got = {tuple(r) for r in names.word_links(spark.createDataFrame([(w,) for w in seen], "word string"), spark.createDataFrame([(w,) for w in stems], "lexeme string")).collect()}
+    assert got == {(a, b) for a, b in itertools.product(seen, stems) if names._word_cost(a, b) < float("inf")}
+    for a, b in itertools.product(seen, stems):
+        if names._whole_edits(a, b) is not None:
+            assert names.whole_signatures(a, False) & names.whole_signatures(b, True), (a, b)
+
+
+def test_no_length_of_a_name_is_left_out(spark):
+    """A cut after 18 letters, the initials of seven words, a long compound with a typo, a common word as the first."""
+    known = ["Quantum Biotherapeutics", "Alpha Beta Gamma Delta Epsilon Zeta Eta", "Global Korangant Nurseries", *[f"Global {w}" for w in ("Foods", "Media", "Energy", "Robotics", "Freight", "Studios")]]
+    seen = [(n, "".join(n.lower().split()), 30) for n in known] + [("Quantumbiotherapeu", None, 1), ("ABGDEZE", None, 1), ("quantumbiotehrapeutics", None, 1), ("Global Nurseries", None, 1), ("Glboal Mdeia", None, 1)]
+    got = {(r["name"], r["tenant"]): r["org"] for r in names.attribute(spark.createDataFrame(seen, "name string, tenant string, n long")).collect()}
+    assert {k: got[(k, None)] for k, _, _ in seen[len(known) :]} == {
+        "Quantumbiotherapeu": "quantumbiotherapeutics", "ABGDEZE": "alphabetagammadeltaepsilonzetaeta", "quantumbiotehrapeutics": "quantumbiotherapeutics", "Global Nurseries": "globalkorangantnurseries", "Glboal Mdeia": "globalmedia",
+    }
+
+
+def test_frequent_spellings_without_a_tenant_are_forms(spark):
+    seen = [("Dorenbrick Security", None, 40), ("Dorenbrcik Security", None, 2), ("Dorenbrick Sec.", None, 1), ("Alone & Far", None, 3)]
+    got = {r["name"]: r["org"] for r in names.attribute(spark.createDataFrame(seen, "name string, tenant string, n long")).collect()}
+    assert got == {"Dorenbrick Security": "dorenbricksecurity", "Dorenbrcik Security": "dorenbricksecurity", "Dorenbrick Sec.": "dorenbricksecurity", "Alone & Far": "alonefar"}
+
+
 @pytest.mark.parametrize(
     ("job", "url", "req", "tenant"),
     [("REQ_010003579", None, "10003579", None), ("#10010103", None, "10010103", None), (None, "https://www.careers.acme.example/openings/10009701?lang=fr", "10009701", "acme"), (None, "https://boards.h.example/acme-2?gh_jid=10015223&gh_src=460678", "10015223", "acme"),
