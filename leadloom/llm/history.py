@@ -2,8 +2,8 @@
 
 :class:`PostingIndex` is an inverted index kept as a table: a posting is a token set with
 the rarest tokens of it (its prefix), and the table is partitioned by token. A batch is
-probed with its own prefixes only, so the history is never read whole: the partitions of
-the batch's tokens are. Lengths are filtered, overlaps are verified on the whole sets, and
+probed with its own prefixes only, so the history is never read whole: the buckets of
+the batch's tokens are, and there are the more buckets the more tokens. Lengths are filtered, overlaps are verified on the whole sets, and
 the batch's sets are appended.
 
 The order of rarity is fixed when the index is made, from counts of the rows known then;
@@ -19,7 +19,8 @@ the least id; an empty table gives an empty result.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,19 +32,38 @@ from leadloom.runtime import durable, scratch_path
 POSTINGS = "key string, tokens array<string>, size int, token string, bucket int"
 
 
+#: Tokens per bucket, and least and most buckets of an index.
+TOKENS_PER_BUCKET, LEAST_BUCKETS, MOST_BUCKETS = 2_000, 16, 8_192
+
+
 class PostingIndex:
-    """Postings under ``path``: ``ranks`` (token, rank) and ``postings`` by bucket of the token."""
+    """Postings under ``path``: ``ranks`` (token, n), ``layout`` (the number of buckets) and ``postings`` by bucket of the token."""
 
-    def __init__(self, spark: SparkSession, path: str, threshold: float = 1.0, buckets: int = 16) -> None:
-        self.spark, self.path, self.threshold, self.buckets = spark, path, threshold, buckets
+    def __init__(self, spark: SparkSession, path: str, threshold: float = 1.0) -> None:
+        self.spark, self.path, self.threshold = spark, path, threshold
 
     def create(self, counts: DataFrame) -> None:
-        """Fix the order of rarity by ``counts``: token, n."""
+        """Fix the order of rarity by ``counts`` (token, n), and the number of buckets by the number of tokens."""
         counts.groupBy("token").agg(F.sum("n").alias("n")).write.mode("errorifexists").parquet(f"{self.path}/ranks")
+        buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, self.ranks().count() // TOKENS_PER_BUCKET))
+        self.spark.createDataFrame([(buckets,)], "buckets int").write.mode("errorifexists").parquet(f"{self.path}/layout")
 
     def ranks(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/ranks")
 
+    @property
+    def buckets(self) -> int:
+        return self.spark.read.parquet(f"{self.path}/layout").first()[0]
+
+    def postings(self) -> DataFrame:
+        """All postings; none if nothing was appended yet."""
+        try:
+            return self.spark.read.schema(POSTINGS).parquet(f"{self.path}/postings")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], POSTINGS)
+
     def _prefixes(self, sets: DataFrame) -> DataFrame:
         """set (key), tokens, size, token: one row per token of the prefix.
 
@@ -65,9 +85,14 @@ class PostingIndex:
         self._prefixes(sets).repartition("bucket").write.mode("append").partitionBy("bucket").parquet(f"{self.path}/postings")
 
     def probe(self, sets: DataFrame) -> DataFrame:
-        """probe (key of ``sets``), key (of a posting), jaccard: every pair that reaches the threshold."""
+        """probe (key of ``sets``), key (of a posting), jaccard: every pair that reaches the threshold.
+
+        Only the buckets of the sets' own prefixes are read; their numbers, at most
+        ``MOST_BUCKETS``, are all that comes to the driver.
+        """
         p = self._prefixes(sets).select(F.col("key").alias("probe"), F.col("tokens").alias("pt"), F.col("size").alias("ps"), "token", "bucket")
-        post = self.spark.read.schema(POSTINGS).parquet(f"{self.path}/postings")
+        touched = sorted(r[0] for r in p.select("bucket").distinct().collect())
+        post = self.postings().filter(F.col("bucket").isin(touched))
         near = (F.col("size") >= F.col("ps") * self.threshold - EPSILON) & (F.col("ps") >= F.col("size") * self.threshold - EPSILON)
         pairs = p.join(post, ["bucket", "token"]).filter(near)
         shared = F.size(F.array_intersect("pt", "tokens"))
@@ -103,35 +128,55 @@ def _same_title(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([same_title({w["token"]: w["n"] for w in x}, {w["token"]: w["n"] for w in y}) for x, y in zip(a, b, strict=True)], dtype=bool)
 
 
-def openings(rows: DataFrame, codes: DataFrame, index: PostingIndex) -> DataFrame:
+#: Steps in which the batches of a table that is checked as a whole go through the index.
+STEPS = 3
+
+
+def openings(rows: DataFrame, codes: DataFrame, index: PostingIndex, steps: int = STEPS) -> DataFrame:
     """id, batch, opening: the requisition; else the earliest requisition whose rows have the same set, or the nearest one's; else the earliest set without one that is the same.
 
     ``rows``: id, batch, req and the codes o, t, l of token lists; ``codes``: code, tokens.
     Sets are the same if organisation and place are equal and the titles are by
     :func:`same_title`. The tokens of the index are the words of the title, each with
-    organisation and place, and those two by themselves, so postings stay short. All
-    batches are probed in one pass: the order (batch, id) decides which set is the earlier.
+    organisation and place, and those two by themselves, so postings stay short.
+
+    The batches go through the index in order, in ``steps`` runs of consecutive ones: each
+    run's new sets are appended and probe what is there, so later sets find the earlier
+    ones and no pair is met twice over. The order of rarity is that of the first run; the
+    result does not depend on the number of steps.
     """
     key = F.concat_ws("-", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in _CODES])
     sets = rows.groupBy(*_CODES).agg(
         F.min(F.when(F.col("req").isNotNull(), F.struct("batch", "id", "req"))).alias("earliest"),
         F.min(F.when(F.col("req").isNull(), F.struct("batch", "id"))).alias("first"),
         F.count(F.when(F.col("req").isNull(), 1)).alias("without"),
+        F.min("batch").alias("since"),
     )
-    sets = durable(sets.filter(F.coalesce(*_CODES).isNotNull()))
-    used = sets.groupBy(F.col("t").alias("code")).agg(F.count("*").alias("n"))
+    # A window over the distinct batches only.
+    runs = rows.select(F.col("batch").alias("since")).distinct().withColumn("step", F.ntile(steps).over(Window.orderBy("since")))
+    sets = durable(sets.filter(F.coalesce(*_CODES).isNotNull()).join(runs, "since"))
+    used = sets.groupBy(F.col("t").alias("code")).agg(F.count("*").alias("n"), F.count_if(F.col("step") == 1).alias("known"))
     each = codes.select("code", F.explode("tokens").alias("token")).join(used, "code")
-    index.create(each.select("token", "n"))
-    words = each.select("code", "token").join(index.ranks(), "token").groupBy(F.col("code").alias("t")).agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("words"))
-    none = F.expr("array()").cast("array<struct<n:bigint,token:string>>")
-    # Every token holds organisation and place, so sets of other blocks than the probes' can't be hit.
+    counts = durable(each.groupBy("token").agg(F.sum("n").alias("n"), F.sum("known").alias("known")))
+    index.create(counts.filter("known > 0").select("token", F.col("known").alias("n")))
+    words = each.select("code", "token").join(counts, "token").groupBy(F.col("code").alias("t")).agg(F.array_sort(F.collect_list(F.struct("known", "token", "n"))).alias("words"))
+    none = F.expr("array()").cast("array<struct<known:bigint,token:string,n:bigint>>")
     block = F.concat_ws("-", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("o", "l")])
-    probed = sets.filter("without > 0").select(block.alias("block")).distinct()
-    sets = sets.withColumn("block", block).join(probed, "block", "left_semi").join(words, "t", "left")
-    sets = durable(sets.select(key.alias("key"), "earliest", "first", "without", F.coalesce("words", none).alias("words"), "block"))
-    ordered = sets.select("key", "without", F.concat(F.transform("words", lambda w: F.concat("block", F.lit(":"), w["token"])), F.array("block")).alias("ordered"))
-    index.append(ordered.select("key", "ordered"))
-    hits = index.probe(ordered.filter("without > 0").select("key", "ordered"))
+    sets = sets.withColumn("block", block).join(words, "t", "left").withColumn("words", F.coalesce("words", none))
+    # Every token holds organisation and place: only blocks with a row that lacks a requisition can have a hit that matters.
+    asked = sets.groupBy("block").agg(F.max("without").alias("most")).filter("most > 0").select("block", F.lit(True).alias("asked"))
+    sets = durable(sets.join(asked, "block", "left").select(key.alias("key"), "step", "earliest", "first", "without", "words", "block", F.col("asked").isNotNull().alias("asked")))
+    ordered = sets.select("key", "step", "asked", F.concat(F.transform("words", lambda w: F.concat("block", F.lit(":"), w["token"])), F.array("block")).alias("ordered"))
+    hits = None
+    for step in range(1, steps + 1):
+        run = ordered.filter(F.col("step") == step)
+        index.append(run.select("key", "ordered"))
+        # Each run is read by itself: Spark takes two scans of one folder for the same, whatever was appended between.
+        found = durable(index.probe(run.filter("asked").select("key", "ordered")))
+        hits = found if hits is None else hits.unionByName(found)
+    sets = sets.filter("asked")
+    back = hits.select(F.col("key").alias("probe"), F.col("probe").alias("key"), "jaccard")
+    hits = hits.unionByName(back).distinct()
     other = sets.select("key", "earliest", "first", "words")
     own = sets.filter("without > 0").select(F.col("key").alias("probe"), F.col("first").alias("own_first"), F.col("words").alias("own_words"))
     pairs = hits.join(own, "probe").join(other, "key")
@@ -167,7 +212,10 @@ def repeats(rows: DataFrame, codes: DataFrame) -> DataFrame:
 
 
 def check_batch(index: PostingIndex, batch: DataFrame) -> DataFrame:
-    """One step of the incremental use: probe a batch (key, tokens), then append its sets; returns the hits found before appending."""
+    """One new batch (key, tokens) against everything accepted: the hits found before its sets are appended.
+
+    Reads the buckets of the batch's prefixes only and works on an index that is still empty.
+    """
     hits = durable(index.probe(batch))
     index.append(batch.dropDuplicates(["key"]))
     return hits

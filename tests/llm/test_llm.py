@@ -388,11 +388,10 @@ def test_p4_pairs_name_one_tenant(spark, sf):
 def test_index_by_batches_equals_brute_force(spark, tmp_path):
     rng = random.Random(1)
     sets = [(f"s{i}", sorted(rng.sample("abcdefghij", rng.randint(1, 5)))) for i in range(60)]
-    index = history.PostingIndex(spark, str(tmp_path / "i"), threshold=0.6, buckets=4)
+    index = history.PostingIndex(spark, str(tmp_path / "i"), threshold=0.6)
     df = spark.createDataFrame(sets, "key string, tokens array<string>")
     index.create(df.limit(20).select(F.explode("tokens").alias("token"), F.lit(1).alias("n")))
     got, known = set(), []
-    index.append(spark.createDataFrame([("none", ["zz"])], df.schema))
     for k in range(0, 60, 20):
         batch = sets[k : k + 20]
         hits = history.check_batch(index, spark.createDataFrame(batch, df.schema)).collect()
@@ -403,6 +402,31 @@ def test_index_by_batches_equals_brute_force(spark, tmp_path):
     assert got
 
 
+def test_a_probe_reads_its_own_buckets_only(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(history, "TOKENS_PER_BUCKET", 60)
+    index = history.PostingIndex(spark, str(tmp_path / "i"), threshold=0.8)
+    sets = spark.range(2000).selectExpr("cast(id as string) key", "array(concat('a', id), concat('b', id), concat('c', id)) tokens")
+    index.create(sets.select(F.explode("tokens").alias("token"), F.lit(1).alias("n")))
+    index.append(sets)
+    assert index.buckets == 100
+    hits = index.probe(sets.filter("key in ('7', '1999')"))
+    assert rows(hits) == [("1999", "1999", 1.0), ("7", "7", 1.0)]
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert any("bucket" in x.split("]")[0] for x in plan.split("PartitionFilters: [")[1:])
+
+
+@pytest.mark.parametrize("steps", [1, 5])
+def test_openings_do_not_depend_on_the_steps(spark, tmp_path, steps):
+    rng = random.Random(6)
+    titles = {10: ["t:data", "t:senior"], 11: ["t:data", "t:senniir"], 12: ["t:data", "t:senniro"], 13: ["t:data", "t:staff"]}
+    codes = spark.createDataFrame([(1, ["o:a"]), (2, ["o:b"]), (3, ["l:1"]), *titles.items(), *[(c, ["t:senior", f"t:x{c}"]) for c in range(20, 50)]], "code long, tokens array<string>")
+    r = [(i, f"b{rng.randint(0, 6)}", rng.choice([None, None, f"r{rng.randint(0, 30)}"]), rng.choice([1, 2]), rng.choice([10, 11, 12, 13, *range(20, 50)]), rng.choice([3, None])) for i in range(300)]
+    df = spark.createDataFrame(r, "id long, batch string, req string, o long, t long, l long")
+    got = dict(rows(history.openings(df, codes, history.PostingIndex(spark, str(tmp_path / "i"), history.LEAST_OVERLAP), steps).select("id", "opening")))
+    whole = dict(rows(history.openings(df, codes, history.PostingIndex(spark, str(tmp_path / "w"), history.LEAST_OVERLAP), 3).select("id", "opening")))
+    assert got == whole and len(set(got.values())) < 300
+
+
 def test_repeats(spark):
     codes = spark.createDataFrame([(1, ["o:a"]), (2, ["t:x", "t:y"]), (3, ["l:1"]), (4, ["o:b"])], "code long, tokens array<string>")
     r = [(1, "", "r1", 1, 2, 3), (2, "b1", "r1", 1, 2, 3), (3, "b1", None, 1, 2, 3), (4, "b0", None, 4, 2, None), (5, "b0", None, 4, 2, None), (6, "b2", None, 4, 2, None), (7, "b2", "r2", 4, 2, 3), (8, "b2", None, None, None, None), (9, "b3", None, None, None, None)]
