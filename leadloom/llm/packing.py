@@ -55,7 +55,7 @@ def best_two_fit(counts: dict[int, int], capacity: int) -> list[list[int]]:
             take(s)
             content.append(s)
             gap -= s
-        while gap > 0 and len(content) > 1 and free:
+        while gap > 0 and content and free:
             worst = content[-1]
             wide = gap + worst
             best = (worst, 0, 0)

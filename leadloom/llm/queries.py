@@ -190,6 +190,13 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("container_id", F.col("capacity").alias("capacity_tokens"), F.col("bin").alias("container"), F.col("id").alias("doc_id"), F.col("piece").alias("piece_no"), F.col("size").alias("n_tokens"))
 
 
+def p9_unused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers of each size, tokens in them, and the share of their space that is unused."""
+    per = p9_containers(spark, sf_dir).groupBy("container_id", "capacity_tokens", "container").agg(F.sum("n_tokens").alias("n"))
+    n = F.count("*")
+    return per.groupBy("container_id", "capacity_tokens").agg(n.alias("containers"), F.sum("n").alias("tokens"), F.round(1 - F.sum("n") / (n * F.first("capacity_tokens")), 6).alias("unused"))
+
+
 def _languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("label"))
     return language.label_documents(docs)
@@ -211,6 +218,6 @@ def p10_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_survivors": p1_survivors, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p7_records": p7_records,
-    "p8_ids": p8_ids, "p8_roundtrip": p8_roundtrip, "p9_containers": p9_containers, "p10_found": p10_found, "p10_languages": p10_languages,
+    "p8_ids": p8_ids, "p8_roundtrip": p8_roundtrip, "p9_containers": p9_containers, "p9_unused": p9_unused, "p10_found": p10_found, "p10_languages": p10_languages,
 }
 SQL: dict[str, str] = {}

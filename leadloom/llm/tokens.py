@@ -6,7 +6,8 @@ a token stands for bytes, not characters, so a character may be split between to
 and comes back only when all its bytes are joined; a piece of a text that begins or
 ends inside a character is decoded with U+FFFD for the broken one.
 
-Byte-level BPE never merges across the places where its first pattern splits, and a
+Byte-level BPE with the pattern of its first kind (a pre-tokenizer of type ``ByteLevel`` with
+its own pattern, no prefix space and no normalizer) never merges across the places where its first pattern splits, and a
 single space between a plain letter, digit or mark and a plain letter is always such a
 place. So a text is cut there, every distinct piece is encoded once per worker by the
 library (the newest ``CACHED`` are kept) and the ids are joined; the result is the same
@@ -63,16 +64,24 @@ CACHED = 200_000
 _CUT = re.compile(r"(?<=[A-Za-z0-9.,;:!?)]) (?=[A-Za-z])")
 
 
+def cuts_at_spaces(path: str) -> bool:
+    """Whether texts may be cut at spaces for the tokenizer of a file; other ones encode whole texts."""
+    t = json.loads(Path(path).read_text(encoding="utf-8"))
+    pre = t.get("pre_tokenizer") or {}
+    return t.get("normalizer") is None and t["model"].get("type", "BPE") == "BPE" and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True)
+
+
 class Pieces:
     """Ids of the pieces of texts; a piece after a cut keeps its space."""
 
     def __init__(self, path: str) -> None:
         self.tokenizer = _tokenizer(path)
+        self.cut = cuts_at_spaces(path)
         self.known: dict[str, list[int]] = {}
 
     def of(self, text: str) -> list[list[int]]:
         """Lists of ids whose concatenation is the encoding of the text."""
-        head, *rest = _CUT.split(text)
+        head, *rest = _CUT.split(text) if self.cut else [text]
         names = [head, *map(" ".__add__, rest)]
         known = self.known
         try:

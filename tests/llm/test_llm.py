@@ -245,7 +245,30 @@ def test_p9_fills_containers(spark, sf):
     per = got.groupby(["container_id", "capacity_tokens", "container"]).n_tokens.sum().reset_index()
     assert (per.n_tokens <= per.capacity_tokens).all() and not got.duplicated(["container_id", "doc_id", "piece_no"]).any()
     assert got.groupby("container_id").n_tokens.sum().nunique() == 1
-    assert per.n_tokens.sum() / per.capacity_tokens.sum() > 0.9
+    unused = {r["container_id"]: r for r in queries.p9_unused(spark, sf).collect()}
+    for k, g in per.groupby("container_id"):
+        assert len(g) == unused[k]["containers"] and abs(1 - g.n_tokens.sum() / g.capacity_tokens.sum() - unused[k]["unused"]) < 1e-5
+
+
+def test_containers_are_full(spark):
+    """The bound is what the README states: 99 % of the space is used, for items of up to the smallest container, but for one open bin."""
+    rng = random.Random(9)
+    items = spark.createDataFrame([(i, rng.randint(1, 700)) for i in range(4000)], "id long, size int")
+    for capacity in (512, 2048):
+        bins = packing.pack(items, {1: capacity}, 4000).groupBy("bin").agg(F.sum("size").alias("n")).toPandas().n
+        assert bins.sum() >= 0.99 * capacity * (len(bins) - 1)
+    assert packing.best_two_fit({7: 1, 5: 1, 4: 1}, 9) == [[5, 4], [7]]
+
+
+def test_texts_are_cut_only_for_the_tokenizer_it_is_proven_for(tmp_path):
+    import json
+
+    assert tokens.cuts_at_spaces(tokens.vocabulary())
+    t = json.loads(open(tokens.vocabulary(), encoding="utf-8").read())
+    t["pre_tokenizer"] = {"type": "Whitespace"}
+    (tmp_path / "t.json").write_text(json.dumps(t))
+    assert not tokens.cuts_at_spaces(str(tmp_path / "t.json"))
+    assert len(tokens.Pieces(str(tmp_path / "t.json")).of("We work. You work")) == 1
 
 
 # --- mapping ----------------------------------------------------------------------
