@@ -153,6 +153,11 @@ def pay_texts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "jobs").select("id", html.pay_ranges(ranges).alias("pay"))
 
 
+@query(f"SELECT doc_id, {_one('regexp_replace(text, ' + chr(39) + '<[^>]+>' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')')} AS plain FROM documents WHERE text IS NOT NULL")
+def tags_stripped(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").filter("text is not null").select("doc_id", text.strip_tags(F.col("text")).alias("plain"))
+
+
 # --- URLs ----------------------------------------------------------------------------
 
 
@@ -190,7 +195,7 @@ def excluded_links(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT id, apply_url AS target FROM jobs WHERE apply_url IS NOT NULL AND regexp_matches(apply_url, '^https?://[!-~]+$')")
 def redirect_targets(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "jobs").filter(F.col("apply_url").rlike("^https?://[!-~]+$"))
+    rows = table(spark, d, "jobs").filter(F.col("apply_url").rlike(r"^https?://[!-~]+\z"))
     return rows.select("id", urls.redirect_target(F.concat(F.lit("https://s.example/l/?k=1&uddg="), F.url_encode("apply_url"))).alias("target"))
 
 
@@ -207,14 +212,14 @@ def search_urls(spark: SparkSession, d: str) -> DataFrame:
        "FROM (SELECT id, trim(apply_url, E' \\t\\n\\r') AS u FROM jobs) WHERE regexp_matches(u, '^https://[a-z0-9-]+\\.wd5\\.workmere\\.example/[A-Za-z]{2}-[A-Za-z]{2}/[^/?#]+/job/[^/?#]+/[^/?#]+_[^/?#]+([?#].*)?$')")
 def tenant_hints(spark: SparkSession, d: str) -> DataFrame:
     u = F.trim(F.regexp_replace("apply_url", r"^[ \t\n\r]+|[ \t\n\r]+$", ""))
-    rows = table(spark, d, "jobs").select("id", u.alias("u")).filter(F.col("u").rlike(r"^https://[a-z0-9-]+\.wd5\.workmere\.example/[A-Za-z]{2}-[A-Za-z]{2}/[^/?#]+/job/[^/?#]+/[^/?#]+_[^/?#]+([?#].*)?$"))
+    rows = table(spark, d, "jobs").select("id", u.alias("u")).filter(F.col("u").rlike(r"^https://[a-z0-9-]+\.wd5\.workmere\.example/[A-Za-z]{2}-[A-Za-z]{2}/[^/?#]+/job/[^/?#]+/[^/?#]+_[^/?#]+([?#].*)?\z"))
     return rows.select("id", urls.tenant_hints(F.col("u"), r"\.workmere\.example$").alias("h")).select("id", "h.*")
 
 
 @query("SELECT id, coalesce(nullif(regexp_extract(u, '[?&]gh_jid=([^&#]+)', 1), ''), nullif(regexp_extract(u, '[?&]jobId=([^&#]+)', 1), ''), nullif(regexp_extract(lower(p), '([0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12})', 1), ''), nullif(regexp_extract(p, '^.*?([0-9]{5,})[^0-9]*$', 1), '')) AS job_id "
        "FROM (SELECT id, apply_url AS u, regexp_extract(apply_url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) AS p FROM jobs WHERE regexp_matches(apply_url, '^https://[a-z.]+/[a-z]+/(jobs/)?[0-9a-f-]+(\\?[^A-Z]*)?$'))")
 def url_job_ids(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "jobs").filter(F.col("apply_url").rlike(r"^https://[a-z.]+/[a-z]+/(jobs/)?[0-9a-f-]+(\?[^A-Z]*)?$"))
+    rows = table(spark, d, "jobs").filter(F.col("apply_url").rlike(r"^https://[a-z.]+/[a-z]+/(jobs/)?[0-9a-f-]+(\?[^A-Z]*)?\z"))
     return rows.select("id", urls.job_id_of(F.col("apply_url")).alias("job_id"))
 
 

@@ -126,6 +126,11 @@ def orphan_applications(spark: SparkSession, d: str) -> DataFrame:
     return timeline.orphans(table(spark, d, "applications").select("id", "job_id"), table(spark, d, "application_tracking"), "job_id", "job_id")
 
 
+@query("SELECT id FROM jobs j WHERE NOT EXISTS (SELECT 1 FROM applications a WHERE a.job_id = j.id)")
+def jobs_without_application(spark: SparkSession, d: str) -> DataFrame:
+    return timeline.orphans(table(spark, d, "jobs").select("id"), table(spark, d, "applications"), "id", "job_id")
+
+
 @query("SELECT 'jobs.source_registry_id' AS reference, count(*) AS broken FROM jobs j WHERE source_registry_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM source_registry r WHERE r.id = j.source_registry_id) "
        "UNION ALL SELECT 'applications.job_id', count(*) FROM applications a WHERE NOT EXISTS (SELECT 1 FROM jobs j WHERE j.id = a.job_id) "
        "UNION ALL SELECT 'application_tracking.job_id', count(*) FROM application_tracking a WHERE NOT EXISTS (SELECT 1 FROM jobs j WHERE j.id = a.job_id)")
@@ -165,9 +170,9 @@ def remote_only(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "jobs").filter(text.has_phrase(F.col("location"), "remote")).select("id")
 
 
-@query("SELECT id FROM jobs WHERE trim(coalesce(apply_url, '')) <> ''")
+@query("SELECT id FROM jobs WHERE NOT regexp_matches(coalesce(apply_url, ''), '^[\\s\\x{a0}\\x{3000}]*$')")
 def launchable(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "jobs").filter(F.length(F.trim("apply_url")) > 0).select("id")
+    return table(spark, d, "jobs").filter(text.clean_text(F.col("apply_url")).isNotNull()).select("id")
 
 
 @query("SELECT id, CASE status WHEN 'active' THEN 0 WHEN 'manual_review' THEN 1 ELSE 2 END AS status_rank, coalesce(company, label, source_url) AS name FROM source_registry")
@@ -364,7 +369,7 @@ def canonical_urls(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def portal_canonical_urls(spark: SparkSession, d: str) -> DataFrame:
-    """Portal forms of URLs; checked against a plain-Python version in the tests (SQL has no per-portal rules to say it by)."""
+    """Portal forms of URLs. SQL has no per-portal rules to say it by; the tests check examples and what the forms must keep."""
     u, t = F.col("apply_url"), F.col("portal_type")
     return table(spark, d, "jobs").filter("apply_url is not null").select("id", urls.portal_of(u, None, BOARDS).alias("portal"), urls.canonical_url(u, t, BOARDS).alias("canonical"), urls.job_id_of(u).alias("job_id"))
 
@@ -394,11 +399,6 @@ def slug_candidates(spark: SparkSession, d: str) -> DataFrame:
     return slugs.select("id", "slug", (F.col("p") + 1).cast("long").alias("position"))
 
 
-@query("SELECT doc_id, regexp_replace(text, '<[^>]+>', ' ', 'g') AS plain FROM documents WHERE text IS NOT NULL")
-def tags_stripped(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").filter("text is not null").select("doc_id", F.regexp_replace("text", "<[^>]+>", " ").alias("plain"))
-
-
 _SIGNAL = {n: p for n, p in html.SIGNALS.items()}
 
 

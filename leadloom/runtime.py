@@ -20,11 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the session names it.
 
-    Where the setting is unset (tests, a laptop) a temporary folder is made and
-    stored in the session, so that later calls use the same one.
+    Where the setting is unset and the session is a local one (tests, a laptop) a
+    temporary folder is made and stored in the session, so that later calls use the same
+    one. On a cluster a folder of one machine would not do, so the setting is required.
     """
     at = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF)
     if not at:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError(f"{CHECKPOINT_CONF} has to name a folder all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="leadloom-")
         spark.conf.set(CHECKPOINT_CONF, at)
     return at
