@@ -29,7 +29,8 @@ from leadloom.llm.names import _edits
 from leadloom.runtime import durable, scratch_path
 
 
-POSTINGS = "key string, tokens array<string>, size int, token string, bucket int"
+#: Tokens of postings are 64-bit hashes: a collision could only add a pair to those checked exactly afterwards.
+POSTINGS = "key string, tokens array<bigint>, size int, token bigint, bucket int"
 
 
 #: Tokens per bucket, and least and most buckets of an index.
@@ -71,14 +72,15 @@ class PostingIndex:
         """
         keep = F.col("size") - F.ceil(F.col("size") * self.threshold - EPSILON).cast("int") + 1
         if "ordered" in sets.columns:
-            ordered = sets.select("key", F.col("ordered").alias("tokens"), F.size("ordered").alias("size"), F.col("ordered").alias("o")).filter("size > 0")
+            ordered = sets.select("key", F.size("ordered").alias("size"), F.col("ordered").alias("o")).filter("size > 0")
         else:
             keyed = sets.withColumn("size", F.size("tokens")).filter("size > 0")
-            each = keyed.select("key", "tokens", "size", F.explode("tokens").alias("token")).join(self.ranks(), "token", "left")
-            ordered = each.groupBy("key", "tokens", "size").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token"))).alias("o"))
+            each = keyed.select("key", "size", F.explode("tokens").alias("token")).join(self.ranks(), "token", "left")
+            ordered = each.groupBy("key", "size").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token"))).alias("o"))
             ordered = ordered.withColumn("o", F.transform("o", lambda x: x["token"]))
-        out = ordered.select("key", "tokens", "size", F.explode(F.slice("o", F.lit(1), keep)).alias("token"))
-        return out.withColumn("bucket", F.pmod(F.hash("token"), F.lit(self.buckets)))
+        coded = ordered.select("key", "size", F.transform("o", lambda w: F.xxhash64(w)).alias("tokens"))
+        out = coded.select("key", "tokens", "size", F.explode(F.slice("tokens", F.lit(1), keep)).alias("token"))
+        return out.withColumn("bucket", F.pmod("token", F.lit(self.buckets)).cast("int"))
 
     def append(self, sets: DataFrame) -> None:
         """Add distinct sets: key, tokens."""
@@ -177,9 +179,9 @@ def openings(rows: DataFrame, codes: DataFrame, index: PostingIndex, steps: int
     sets = sets.filter("asked")
     back = hits.select(F.col("key").alias("probe"), F.col("probe").alias("key"), "jaccard")
     hits = hits.unionByName(back).distinct()
-    other = sets.select("key", "earliest", "first", "words")
-    own = sets.filter("without > 0").select(F.col("key").alias("probe"), F.col("first").alias("own_first"), F.col("words").alias("own_words"))
-    pairs = hits.join(own, "probe").join(other, "key")
+    other = sets.select("key", "earliest", "first", "words", F.col("block").alias("other_block"))
+    own = sets.filter("without > 0").select(F.col("key").alias("probe"), F.col("first").alias("own_first"), F.col("words").alias("own_words"), "block")
+    pairs = hits.join(own, "probe").join(other, "key").filter(F.col("block") == F.col("other_block"))
     gaps = [F.size(F.array_except(*x)) for x in (("words", "own_words"), ("own_words", "words"))]
     pairs = durable(pairs.filter(gaps[0] == gaps[1]))
     same = pairs.filter("probe = key").unionByName(pairs.filter("probe <> key").filter(_same_title("own_words", "words")))
