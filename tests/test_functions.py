@@ -22,7 +22,7 @@ def test_text(spark):
     assert one(spark, "pg://u:secret@h/d?password=x", text.mask_secrets) == "pg://u:***@h/d?password=***"
     assert one(spark, "a", lambda c: text.merge_lines(c, F.lit(None), F.lit("b"), c)) == "a\nb"
     assert text.query_terms("The data JOB, in or with Spark!") == ["data", "job", "spark"]
-    assert one(spark, "Click here", text.link_text) is None and one(spark, "acme-data", text.display_name) == "Acme Data"
+    assert one(spark, " Visit  Site", text.link_text) is None and one(spark, "Click here", text.link_text) == "Click here" and one(spark, "acme-data", text.display_name) == "Acme Data"
 
 
 URLS = ["https://Boards.Greenhouse.io/acme/?gh_jid=123&utm_source=x", "HTTP://h.example/a//b/?q=1&q=2#f", "no url", "https://jobs.ashbyhq.com/acme?jobId=ab-1", "https://x.example/", None, "https://jobs.lever.co/acme/1?lever-source=z&a=b"]
